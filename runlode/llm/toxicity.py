@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -124,80 +124,85 @@ class Model:
         return self.__dict__ | {"cache": {}}
 
 
-def tag_tokens(docs: list[list[str]], toxic: list[bool], support: int = 6, purity: float = 0.98) -> list[np.ndarray]:
-    """Token tags from document labels.
+def markers(docs: list[np.ndarray], words: list[str], toxic: list[bool], support: int = 6, purity: float = 0.98) -> np.ndarray:
+    """Which words mark toxicity, learned from document labels.
 
-    A feature is a marker if at least ``support`` toxic documents have it and, both classes weighed
-    as equally large, the share ``purity`` of those that have it are toxic. A token of a toxic
-    document that has a marker is tagged. A clean document counts once for each of its words that has
-    the feature, which only makes markers purer. Toxic documents that look like copies of an earlier
-    one, by two of four least hashes of their long words, do not count again: a group of copies
-    would make markers of all its words.
+    docs: word numbers. A feature is a marker if at least ``support`` toxic documents have it and,
+    both classes weighed as equally large, the share ``purity`` of those that have it are toxic. A
+    word with a marker is one. A clean document counts once for each of its words that has the
+    feature, which only makes markers purer. Toxic documents that look like copies of an earlier one,
+    by two of four least hashes of their long words, do not count again: a group of copies would make
+    markers of all its words.
     """
-    counts: list[Counter] = [Counter(), Counter()]
-    known: dict[str, tuple[str, ...]] = {}
+    seen = np.zeros((2, len(words)), np.int64)
     have: Counter = Counter()
     sketches: set[tuple[int, int]] = set()
 
-    def fresh(words: set[str]) -> bool:
-        h = np.array([zlib.crc32(w.encode()) for w in words if len(w) > 8] or [zlib.crc32(" ".join(sorted(words)).encode())], dtype=np.uint64)
+    def fresh(own_words: list[str]) -> bool:
+        h = np.array([zlib.crc32(w.encode()) for w in own_words if len(w) > 8] or [zlib.crc32(" ".join(sorted(own_words)).encode())], dtype=np.uint64)
         own = {(k, int((h * np.uint64(a) % np.uint64(4294967291)).min())) for k, a in enumerate((1, 2654435761, 2246822519, 3266489917))}
         new = len(own & sketches) < 2
         sketches.update(own)
         return new
 
     for d, y in zip(docs, toxic, strict=True):
-        words = set(d)
-        counts[y].update(words)
-        if y and words and fresh(words):
-            for w in words.difference(known):
-                known[w] = features(w)
-            have.update({f for w in words for f in known[w]})
+        ids = np.unique(d)
+        seen[int(y), ids] += 1
+        if y and len(ids):
+            own = [words[i] for i in ids.tolist()]
+            if fresh(own):
+                have.update({f for w in own for f in features(w)})
     likely = {f for f, k in have.items() if k >= support}
     clean: Counter = Counter()
-    for w, k in counts[0].items():
-        for f in features(w):
+    for i in np.flatnonzero(seen[0]).tolist():
+        for f in features(words[i]):
             if f in likely:
-                clean[f] += k
+                clean[f] += int(seen[0, i])
     n0, n1 = max(1, toxic.count(False)), max(1, toxic.count(True))
-    markers = {f for f in likely if have[f] / n1 >= purity * (have[f] / n1 + (clean[f] + 0.5) / n0)}
-    marked = {w for w, fs in known.items() if not markers.isdisjoint(fs)}
-    return [np.array([w in marked for w in d], dtype=np.int8) if y else np.zeros(len(d), dtype=np.int8) for d, y in zip(docs, toxic, strict=True)]
-
+    found = {f for f in likely if have[f] / n1 >= purity * (have[f] / n1 + (clean[f] + 0.5) / n0)}
+    out = np.zeros(len(words), bool)
+    for i in np.flatnonzero(seen[1]).tolist():
+        out[i] = not found.isdisjoint(features(words[i]))
+    return out
 
-def train(docs: list[list[str]], toxic: list[bool], per_class: int = 800, rounds: int = 60, rate: float = 0.5, decay: float = 0.05, prior: float = 0.5) -> Model:
-    """Tags the tokens of all documents, then maximises the conditional likelihood of the tags.
 
-    The likelihood is that of the first ``per_class`` documents of each class, maximised with Adam.
+def train(docs: Iterable[tuple[list[str], bool]], per_class: int = 400, rounds: int = 60, rate: float = 0.5, decay: float = 0.05, prior: float = 0.5) -> Model:
+    """A model from (tokens, toxic) pairs, which are read once.
 
-    The gradient of each weight is its observed count less its expected count under the marginals.
-    Weights are kept for the features of tagged words; those that only clean words have are left to
-    the bias.
+    Marked words of toxic documents are the tagged tokens. The conditional likelihood of the tags of
+    the first ``per_class`` documents of each class is maximised with Adam; the gradient of each
+    weight is its observed count less its expected count under the marginals. Weights are kept for the
+    features of tagged words; those that only clean words have are left to the bias.
     """
+    numbers: dict[str, int] = {}
+    coded: list[np.ndarray] = []
+    toxic: list[bool] = []
+    for tokens_, y in docs:
+        coded.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in tokens_), np.int32, len(tokens_)))
+        toxic.append(y)
     if not any(toxic) or all(toxic):
         return Model({"": -10.0}, np.zeros((2, 2)), 0.0, prior)
-    tags = tag_tokens(docs, toxic)
-    tagged = {w for d, t in zip(docs, tags, strict=True) if t.any() for w, x in zip(d, t.tolist(), strict=True) if x}
+    words = list(numbers)
+    marked = markers(coded, words, toxic)
     room = {True: per_class, False: per_class}
     chosen = []
     for i, flag in enumerate(toxic):
-        if room[flag]:
+        if room[flag] and len(coded[i]):
             room[flag] -= 1
             chosen.append(i)
-    docs, tags = [docs[i] for i in chosen], [tags[i] for i in chosen]
-    flat = [w for d in docs for w in d]
-    y = np.concatenate([t for t in tags if len(t)] or [np.zeros(0, np.int8)]).astype(np.float64)
-    vocabulary = {w: i for i, w in enumerate(sorted(set(flat)))}
-    ids = np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
-    names = {f: j + 1 for j, f in enumerate(sorted({f for w in tagged for f in features(w)}))}
+    flat = np.concatenate([coded[i] for i in chosen]).astype(np.int64)
+    sizes = np.array([len(coded[i]) for i in chosen])
+    y = (marked[flat] & np.repeat([toxic[i] for i in chosen], sizes)).astype(np.float64)
+    used, ids = np.unique(flat, return_inverse=True)
+    vocabulary = [words[i] for i in used.tolist()]
+    names = {f: j + 1 for j, f in enumerate(sorted({f for i in np.flatnonzero(marked).tolist() for f in features(words[i])}))}
     owner, feature = [], []
-    for w, i in vocabulary.items():
+    for i, w in enumerate(vocabulary):
         got = [0, *[names[f] for f in features(w) if f in names]]
         owner += [i] * len(got)
         feature += got
     owner, feature = np.array(owner), np.array(feature)
-    sizes = np.array([len(d) for d in docs])
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    starts = np.cumsum(sizes) - sizes
     linked = np.ones(len(flat), bool)
     linked[starts] = False
     theta = np.zeros(len(names) + 1 + 5)
@@ -223,7 +228,7 @@ def train(docs: list[list[str]], toxic: list[bool], per_class: int = 800, rounds
     return Model(weights, theta[-5:-1].reshape(2, 2), float(theta[-1]), prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = 2000, clean_docs: int = 6000, max_chars: int = 40_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = 1200, clean_docs: int = 3600, max_chars: int = 20_000_000) -> Model:
     """A model of at most ``toxic_docs`` and ``clean_docs`` labelled documents, a documented bound.
 
     usable: a condition on id_col in labels. The documents are those with the least digests of their
@@ -235,16 +240,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     order = F.md5(F.col("_id").cast("string").cast("binary"))
     chosen = [r for y, most in ((1, toxic_docs), (0, clean_docs)) for r in rows.where(F.col("label") == y).orderBy(order, "_id").limit(most).collect()]
     if not chosen:
-        return train([], [])
+        return train([])
     picked = docs.sparkSession.createDataFrame(chosen, rows.schema).dropDuplicates(["_id"])
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("label", F.col("_text").alias("text"), order.alias("o"))
-    texts, flags, size = [], [], 0
-    for r in sorted(found.limit(2 * (toxic_docs + clean_docs)).collect(), key=lambda r: (r["o"], r["text"] or "")):
-        if size + len(r["text"] or "") <= max_chars:
-            size += len(r["text"] or "")
-            texts.append(tokens(r["text"]))
-            flags.append(bool(r["label"]))
-    return train(texts, flags, prior=ones / n)
+    order_known = sorted(((r["o"], r["text"] or "", bool(r["label"])) for r in found.limit(2 * (toxic_docs + clean_docs)).toLocalIterator()), key=lambda r: r[:2])
+
+    def learned() -> Iterator[tuple[list[str], bool]]:
+        size = 0
+        for _, text, y in order_known:
+            if size + len(text) <= max_chars:
+                size += len(text)
+                yield tokens(text), y
+
+    return train(learned(), prior=ones / n)
 
 
 def spans_of(text: str, p: np.ndarray, threshold: float) -> list[dict]:
