@@ -94,18 +94,21 @@ def merged(spans: list[int]) -> list[int]:
 
 
 def _scan(patterns: list[tuple[tuple[bytes, ...], str]]):
+    """A pass over batches whose last four columns are text, n_words, spans and items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(patterns)
         for batch in batches:
-            ids, texts, spans0, items0 = (c.to_pylist() for c in batch.columns)
             n_words, spans, items = [], [], []
+            texts, _, spans0, items0 = (c.to_pylist() for c in batch.columns[-4:])
             for text, before, had in zip(texts, spans0, items0, strict=True):
                 w = words(text)
                 found, met = matcher.search(w)
                 n_words.append(len(w))
                 spans.append(merged([*before, *found]))
                 items.append(sorted({*had, *met}))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["key", "text", "n_words", "spans", "items"])
+            made = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *made], names=batch.schema.names)
 
     return run
 
@@ -120,8 +123,8 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, length: int, b
         yield [(w, r["item"] or "") for r in share.toLocalIterator() for w in windows(words(r["text"]), length)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, block_bytes: int = 16 << 20, keep_text: bool = False) -> DataFrame:
-    """For each row of docs: doc_id, n_words, spans (flat, merged [start, end) word positions), items.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, block_bytes: int = 16 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of docs: doc_id, ``keep``, n_words, spans (flat, merged [start, end) word positions), items.
 
     Words are maximal runs of digits, letters and non-ASCII characters after A-Z is folded. Null and
     wordless texts have no words and no hits; rows that repeat are each searched. An item whose id is
@@ -129,13 +132,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks of ``block_bytes`` of item text, one pass over the documents for each block, so a larger
     benchmark costs passes and not memory. An empty benchmark hits nothing.
     """
-    now = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    kind = dict(docs.select(F.col(id_col).alias("key")).dtypes)["key"]
+    now = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for k, patterns in enumerate(blocks_of(benchmark, item_col, item_text_col, length, block_bytes)):
         if k:
-            now = checkpointed(now).select("key", "text", "spans", "items")
-        now = now.mapInArrow(_scan(patterns), "key string, text string, n_words long, spans array<int>, items array<string>")
-    return now.select(F.col("key").cast(kind).alias("doc_id"), *["text"] * keep_text, "n_words", "spans", "items")
+            now = checkpointed(now)
+        now = now.mapInArrow(_scan(patterns), now.schema)
+    return now.select("doc_id", *[F.col(f"_keep_{c}").alias(c) for c in keep], "n_words", "spans", "items")
 
 
 def n_hit(spans):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlode.llm import chat, decontaminate, mixing, pii, quality, simhash, toxicity
+from runlode.llm import ann, chat, decontaminate, html_text, lm, mixing, pii, quality, simhash, toxicity
 from runlode.llm.common import checkpointed, remainder, table
 
 
@@ -77,6 +77,16 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+    held = (remainder(F.col("doc_id"), 7) == 2).alias("held_out")
+    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("_id"), 5) != 0)
@@ -84,6 +94,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("_id"), 4) != 2)
@@ -135,7 +150,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
+    "op3_html": op3_html,
+    "op4_lm": op4_lm,
     "op5_quality": op5_quality,
+    "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,

@@ -8,7 +8,7 @@ differ in at most r positions agree under that v's mask: every link collides in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlode.llm.common import checkpointed, fold_case, space_words
@@ -29,7 +29,7 @@ def covering_masks(radius: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row (doc_id, fp long) for each row of docs.
+    """One row (doc_id, th, fp long) for each row of docs; th is the text's own hash.
 
     Shingles are ``width`` case-folded words joined by a space, repeats included; a shorter text is
     one shingle, and a null or wordless text has fingerprint 0. A bit is set if it is set in over
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count all 64 and no text that fits a row can overflow one. Sums are taken before the shuffle;
     rows that repeat add up to the same majority and are dealt out again.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("th"), space_words(fold_case(F.col("t"))).alias("w")).withColumn("n", F.size("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select("doc_id", F.xxhash64(F.coalesce("t", F.lit(""))).alias("th"), space_words(fold_case(F.col("t"))).alias("w")).withColumn("n", F.size("w"))
     m = F.greatest(F.col("n") - (width - 1), F.lit(0))
     columns = [f"w{i}" for i in range(width)]
     short = F.array(F.struct(*[(F.when(F.col("n") > 0, F.concat_ws(" ", "w")) if c == "w0" else F.lit(None).cast("string")).alias(c) for c in columns]))
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         s = F.coalesce(F.col(f"s{j}"), F.lit(0).cast("long"))
         for bit, count in ((j, s.bitwiseAND(F.lit(0xFFFFFFFF))), (j + 32, F.shiftrightunsigned(s, 32))):
             fp = fp.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
-    return sums.select("doc_id", "copies", fp.alias("fp")).select("doc_id", "fp", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_")).select("doc_id", "fp")
+    return sums.select("doc_id", "th", "copies", fp.alias("fp")).select("doc_id", "th", "fp", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_")).select("doc_id", "th", "fp")
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -82,19 +82,36 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the least doc_id reachable by links, itself included.
+    """(doc_id, th, fp, group, component_id) for each row.
 
-    Null ids are kept and never win against another id of their component; an empty table gives no
-    rows. Equal fingerprints are one node, so copies cost nothing beyond their own rows.
+    group names the component by a fingerprint; component_id is the least doc_id reachable by links,
+    itself included. Null ids are kept and never win against another id of their component; an empty
+    table gives no rows. Equal fingerprints are one node, so copies cost nothing beyond their own
+    rows.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, width))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(links(nodes.select("fp"), radius))
     linked = nodes.join(comp, nodes["fp"] == comp["node"]).select("fp", "root", "least")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.join(roots, "root").select("fp", "component_id")
-    named = nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    known = linked.join(roots, "root").select("fp", "root", "component_id")
+    named = nodes.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "th", "fp", "group", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs that stay: one of each group, the one with the least id, then text hash.
+
+    Of rows that repeat one stays; a null id counts as the empty one and comes first. All columns of
+    docs are returned.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, radius)
+    least = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id"), F.col("th"))).alias("r"))
+    stay = least.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("r.th").alias("_h")).distinct()
+    keyed = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keyed.join(stay, ["_k", "_h"], "left_semi")
+    first = Window.partitionBy("_k", "_h").orderBy("_k")
+    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
 
 
 def hex_fingerprint(fp):
