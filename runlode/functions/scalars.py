@@ -16,9 +16,17 @@ def saturated(x: Column) -> Column:
 
 
 def accrued(rate: Column, elapsed_ms: Column) -> Column:
-    """What an hourly rate charges over a time, rounded up and clamped; a negative time is none."""
-    wide = rate.cast("decimal(20,0)") * F.greatest(F.lit(0).cast("long"), elapsed_ms).cast("decimal(18,0)")
-    return saturated(F.floor((wide.cast("decimal(38,0)") + (MS_PER_HOUR - 1)) / F.lit(MS_PER_HOUR).cast("decimal(7,0)")).cast("decimal(38,0)"))
+    """What an hourly rate charges over a time, rounded up and clamped; a negative time is none.
+
+    The remainder is taken off before dividing, so the quotient is whole and no scale can round it.
+    A product that no decimal holds is beyond the clamp.
+    """
+    ms = F.greatest(F.lit(0).cast("long"), elapsed_ms).cast("decimal(19,0)")
+    hour = F.lit(MS_PER_HOUR).cast("decimal(7,0)")
+    wide = F.try_multiply(rate.cast("decimal(20,0)"), ms).cast("decimal(38,0)")
+    rest = wide % hour
+    whole = ((wide - rest) / hour).cast("decimal(38,0)")
+    return F.coalesce(saturated(whole + F.when(rest > 0, 1).otherwise(0)), F.lit(U64).cast("decimal(20,0)"))
 
 
 def saturating_add(a: Column, b: Column) -> Column:
@@ -115,32 +123,47 @@ def _word(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def add64(a: Column, b: Column) -> Column:
     """Sum modulo 2^64."""
+    return let(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), lambda x: _add64(x["a"], x["b"]))
+
+
+def _add64(a: Column, b: Column) -> Column:
     low = a.bitwiseAND(F.lit(0xFFFFFFFF)) + b.bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
     return F.shiftleft(high.bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def mul64(a: Column, constant: int) -> Column:
-    """Product with a constant modulo 2^64, by limbs of 16 bits of the constant."""
-    a_low, a_high = a.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(a, 32)
-    total = F.lit(0).cast("long")
-    for k in range(4):
-        limb = constant >> 16 * k & 0xFFFF
-        if limb:
-            part = F.shiftleft(a_low * limb, 16 * k)
-            if k < 2:
-                part = add64(part, F.shiftleft(a_high * limb, 16 * k + 32))
-            total = add64(total, part)
-    return total
+    """Product with a constant modulo 2^64: the low half in limbs of 16 bits, which cannot overflow.
+
+    With a = ah 2^32 + al and the constant's limbs c0 to c3, the low word is al c0 + al c1 2^16 and the
+    high word collects what is carried and al (c2 + c3 2^16) + ah (c0 + c1 2^16), all modulo 2^32.
+    """
+    c = [constant >> 16 * k & 0xFFFF for k in range(4)]
+    mask = F.lit(0xFFFFFFFF)
+
+    def product(x: Column) -> Column:
+        al, ah = x.bitwiseAND(mask), F.shiftrightunsigned(x, 32)
+        # Each term is below 2^49, and so are their sums below 2^63.
+        middle = al * c[1] + F.shiftrightunsigned(al * c[0], 16)
+        low = F.shiftleft(middle, 16).bitwiseAND(mask).bitwiseOR((al * c[0]).bitwiseAND(F.lit(0xFFFF)))
+        high = F.shiftrightunsigned(middle, 16) + al * c[2] + F.shiftleft((al * c[3]).bitwiseAND(F.lit(0xFFFF)), 16) + ah * c[0] + F.shiftleft((ah * c[1]).bitwiseAND(F.lit(0xFFFF)), 16)
+        return F.shiftleft(high.bitwiseAND(mask), 32).bitwiseOR(low)
+
+    return let(a.cast("long"), product)
 
 
 def mix64(z: Column) -> Column:
     """The finaliser of the stream: xor-shifts by 30, 27 and 31 around two multiplications."""
-    z = mul64(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), 0xBF58476D1CE4E5B9)
-    z = mul64(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), 0x94D049BB133111EB)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+    z = mul64(let(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 30))), 0xBF58476D1CE4E5B9)
+    z = mul64(let(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 27))), 0x94D049BB133111EB)
+    return let(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 31)))
 
 
 def draw(seed: Column, counter: Column) -> Column:

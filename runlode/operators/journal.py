@@ -15,7 +15,7 @@ LIFECYCLE = ("queued", "leased", "committed", "failed", "retried", "rejected", "
 TERMINAL = ("committed", "failed", "rejected", "faulted")
 SEARCH_LEVEL = ("search_started", "search_finalized", "search_failed", "search_interrupted")
 #: Events that the minimal narration leaves out.
-QUIET = ("queued", "leased", "checkpointed", "worker_bound", "program_bound", "driver_changed", "diagnostic", "chain_rebound")
+QUIET = ("renting", "awaiting_machine", "sending_search", "installing_program", "starting_search", "instance_online", "leased", "checkpointed")
 
 
 def _is(*events: str) -> Column:

@@ -38,7 +38,8 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         (F.col("user_id") % 10).cast("string").alias("search_id"),
         F.col("event_id").alias("seq"),
-        F.expr("unix_micros(ts) div 1000").alias("ts_ms"),
+        # Free of the session's time zone: the stamps have none.
+        F.expr("cast(floor(cast(cast(cast(ts as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20,6)) * 1000) as bigint)").alias("ts_ms"),
         kind.alias("event"),
         F.when(named, F.format_string("t%02d", F.col("k") % 25)).alias("task"),
         F.when(bound | (kind == "leased"), (F.col("k") % 25 % 4).cast("long")).alias("worker"),
