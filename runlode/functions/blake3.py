@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the algorithm.
 IV = np.array([0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19], dtype=np.uint32)
@@ -106,7 +107,7 @@ def blake3_many(inputs: list[bytes]) -> list[bytes]:
     return [x[0].astype("<u4").tobytes() for x in level]
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def blake3(column: pa.Array) -> pa.Array:
     """BLAKE3-256 of a binary column; null stays null."""
     values = column.to_pylist()

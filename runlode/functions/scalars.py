@@ -77,28 +77,26 @@ def dollars(micro: Column) -> Column:
     return F.format_string("$%.3f", (micro.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("double"))
 
 
+def _or_dash(form: str, value: Column) -> Column:
+    return F.when(value.isNull(), "—").otherwise(F.format_string(form, value))
+
+
 def percent(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", F.try_divide(part * F.lit(100.0), whole)), F.lit("—"))
+    return _or_dash("%.1f%%", F.try_divide(part * F.lit(100.0), whole))
 
 
 def per_task(total: Column, tasks: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", F.try_divide(total.cast("double"), tasks)), F.lit("—"))
+    return _or_dash("%.2f per task", F.try_divide(total.cast("double"), tasks))
 
 
 def throughput(count: Column, ms: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f/s", F.try_divide(count * F.lit(1000.0), ms)), F.lit("—"))
+    return _or_dash("%.1f task/s", F.try_divide(count * F.lit(1000.0), ms))
 
 
 def duration(ms: Column) -> Column:
-    """h m s without leading zero parts; under a second, milliseconds."""
-    s = F.floor(ms / 1000)
-    hours, minutes = F.floor(s / 3600), F.floor(s / 60) % 60
-    return (
-        F.when(ms < 1000, F.format_string("%dms", ms))
-        .when(s < 60, F.format_string("%ds", s))
-        .when(s < 3600, F.format_string("%dm %ds", minutes, s % 60))
-        .otherwise(F.format_string("%dh %dm", hours, minutes))
-    )
+    """Seconds with two decimals below a minute, then minutes and seconds."""
+    long = F.format_string("%dm%02ds", F.floor(ms / 60_000), F.floor(ms / 1000) % 60)
+    return F.when(ms < 60_000, F.format_string("%.2fs", ms / F.lit(1000.0))).otherwise(long)
 
 
 def number(x: Column) -> Column:

@@ -30,8 +30,8 @@ def network_genomes(rows: DataFrame, scale: float, weights: int = WEIGHTS) -> Da
 
 def duplicate_genomes(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(first, second): the two least indexes of each genome that occurs twice; any row is an error."""
-    got = rows.groupBy(*columns).agg(F.min("i").alias("first"), F.sort_array(F.slice(F.sort_array(F.collect_set("i")), 1, 2))[1].alias("second"), F.count("*").alias("n"))
-    return got.where("n > 1").select("first", "second")
+    first = rows.groupBy(*columns).agg(F.min("i").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(first, columns).where("i > first").groupBy(*columns, "first").agg(F.min("i").alias("second")).select("first", "second")
 
 
 def ignition(seeds: DataFrame, width: int, height: int, background: list[float], patch: list[float], divisor: int, noise: float) -> DataFrame:

@@ -192,16 +192,25 @@ def stats_histogram(journal: DataFrame) -> DataFrame:
     return latest_stats(journal).groupBy("search_id", "stats").agg(F.count("*").alias("tasks")).orderBy("search_id", F.desc("tasks"), "stats")
 
 
-def running_commits(journal: DataFrame) -> DataFrame:
+def running_commits(journal: DataFrame, block: int = 100_000) -> DataFrame:
     """(search_id, seq, done, tasks) at each commit: the session's restored count plus commits so far.
 
-    Sessions are numbered by a window a search; the counts then run within a session.
+    Counts run within blocks of ``block`` positions and over the blocks' totals, so a search's log is
+    dealt over as many tasks as it has blocks. A start carries what it restored less the commits
+    before it; adding all commits up to a row to its last start's figure gives the count.
     """
-    log = Window.partitionBy("search_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = journal.where(_is("search_started", "committed")).withColumn("session", F.sum(_is("search_started").cast("int")).over(log))
-    session = Window.partitionBy("search_id", "session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = numbered.withColumn("base", F.max("restored").over(session)).withColumn("total", F.max("tasks").over(session)).withColumn("n", F.sum(_is("committed").cast("long")).over(session))
-    return counted.where(_is("committed")).select("search_id", "seq", (F.coalesce("base", F.lit(0)) + F.col("n")).alias("done"), F.coalesce("total", F.lit(0)).alias("tasks"))
+    committed = F.when(_is("committed"), 1).otherwise(0).cast("long")
+    rows = journal.where(_is("search_started", "committed")).select("search_id", "seq", "event", "tasks", "restored", F.floor(F.col("seq") / block).alias("block"), committed.alias("c"))
+    inside = Window.partitionBy("search_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    anchor = F.struct("seq", (F.coalesce("restored", F.lit(0)) - F.col("n")).alias("less"), F.coalesce("tasks", F.lit(0)).alias("tasks"))
+    counted = rows.withColumn("n", F.sum("c").over(inside)).withColumn("a", F.max(F.when(_is("search_started"), anchor)).over(inside))
+    blocks = counted.groupBy("search_id", "block").agg(F.sum("c").alias("n"), F.max("a").alias("a"))
+    before = Window.partitionBy("search_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("own", F.struct("a.seq", (F.col("a.less") - F.col("base")).alias("less"), "a.tasks"))
+    carried = totals.withColumn("last", F.max(F.when(F.col("a").isNotNull(), F.col("own"))).over(before)).select("search_id", "block", "base", "last")
+    joined = counted.where(_is("committed")).join(carried, ["search_id", "block"])
+    less = F.coalesce(F.col("a.less") - F.col("base"), F.col("last.less"), F.lit(0))
+    return joined.select("search_id", "seq", (F.col("base") + F.col("n") + less).alias("done"), F.coalesce("a.tasks", "last.tasks", F.lit(0)).alias("tasks"))
 
 
 def journaled_keys(journal: DataFrame) -> DataFrame:

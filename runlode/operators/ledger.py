@@ -28,8 +28,8 @@ def spend_report(instances: DataFrame, spend: DataFrame, now_ms: int) -> DataFra
 
 def budget_verdict(report: DataFrame, now_ms: int, max_spend: int | None, max_wall_clock_ms: int | None) -> DataFrame:
     """Whether each owner may rent: spend that meets its cap goes before a deadline that has come."""
-    deadline = saturating_add(F.col("first_ms"), F.lit(max_wall_clock_ms)) if max_wall_clock_ms is not None else F.lit(None).cast("decimal(20,0)")
-    spent = F.col("total") >= F.lit(max_spend).cast("decimal(20,0)") if max_spend is not None else F.lit(False)
+    deadline = saturating_add(F.col("first_ms"), F.lit(str(max_wall_clock_ms)).cast("decimal(20,0)")) if max_wall_clock_ms is not None else F.lit(None).cast("decimal(20,0)")
+    spent = F.col("total") >= F.lit(str(max_spend)).cast("decimal(20,0)") if max_spend is not None else F.lit(False)
     verdict = F.when(spent, "spend").when(F.lit(now_ms) >= F.col("deadline_ms"), "wall_clock").otherwise("within")
     return report.withColumn("deadline_ms", deadline).select("owner", "total", "deadline_ms", verdict.alias("verdict"))
 
@@ -76,7 +76,7 @@ class Constraints:
             if (least := getattr(self, f"min_{name}")) is not None:
                 tests.append(at_least(F.col(name), F.lit(least)))
         if self.max_price is not None:
-            tests.append(F.col("price") <= F.lit(self.max_price).cast("decimal(20,0)"))
+            tests.append(F.col("price") <= F.lit(str(self.max_price)).cast("decimal(20,0)"))
         out = tests[0]
         for t in tests[1:]:
             out = out & t

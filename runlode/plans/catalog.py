@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlode.functions import scalars as fn
-from runlode.operators import generate, journal, ledger, simulate, store
+from runlode.operators import generate, journal, ledger, placement, simulate, store
+from runlode.plans import render
 from runlode.plans import views as v
 from runlode.streaming import status as live
 
@@ -639,3 +640,76 @@ SELECT search_id, worker, unnest(r.n[2:]) AS seq FROM f""",
 def liveness_lines(spark, d):
     rows = v.journal(spark, d).where("event = 'worker_bound'").select("search_id", "worker", "seq", "ts_ms")
     return live.limited(rows, ["search_id", "worker"], 3_600_000).select("search_id", "worker", "seq")
+
+
+# ---- placement and narration
+
+
+@_query(
+    """, c AS (SELECT *, count(*) FILTER (event = 'search_started') OVER (PARTITION BY search_id ORDER BY seq) AS ses FROM journal), d AS (SELECT *, max(restored) OVER w AS base, max(tasks) OVER w AS total, count(*) FILTER (event = 'committed') OVER w AS n FROM c WINDOW w AS (PARTITION BY search_id, ses ORDER BY seq))
+SELECT search_id, seq, CASE event WHEN 'search_started' THEN CASE WHEN restored > 0 THEN 'resuming: ' || restored || '/' || tasks || ' committed, ' || greatest(0, tasks - restored) || ' outstanding' ELSE 'started: ' || tasks || ' tasks' END
+  WHEN 'committed' THEN 'committed ' || (coalesce(base, 0) + n) || '/' || coalesce(total, 0) || '  ' || task WHEN 'rejected' THEN 'rejected ' || task || ': ' || reason WHEN 'failed' THEN 'failed ' || task || ' (attempt ' || attempt || '): ' || reason WHEN 'leased' THEN 'task ' || task || ' started (worker ' || worker || ')' END AS line
+FROM d WHERE event IN ('search_started', 'committed', 'rejected', 'failed', 'leased')""",
+    v.JOURNAL,
+)
+def narration(spark, d):
+    return render.narrate(v.journal(spark, d))
+
+
+@_query(
+    f""", s AS (SELECT DISTINCT host, unnest(['C1', 'disc', 'c', 'zz', 'c1']) AS "select", unnest([0, 1, 2, 3, 4]) AS ord FROM dv), m AS (SELECT s.host, s."select", s.ord, count(DISTINCT class) AS k, min(class) AS class, count(class) AS members FROM s LEFT JOIN (SELECT host AS h, class, device_type AS name FROM dv) ON h = host AND (lower("select") = lower(class) OR contains(lower(name), lower("select"))) GROUP BY 1, 2, 3),
+e AS (SELECT *, count(*) FILTER (k = 1) OVER (PARTITION BY host, class ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m), f AS (SELECT *, CASE WHEN k = 0 THEN 'no device' WHEN k > 1 THEN k || ' devices' WHEN before > 0 THEN 'taken' ELSE 'found' END AS verdict FROM e)
+SELECT host, "select", ord, verdict, CASE WHEN verdict = 'found' THEN class END AS class, CASE WHEN verdict = 'found' THEN members END AS members FROM f""",
+    _DEVICES,
+)
+def selector_resolution(spark, d):
+    devices = _devices(spark, d).withColumn("name", F.col("device_type"))
+    texts = F.array(*map(F.lit, ("C1", "disc", "c", "zz", "c1")))
+    asked = devices.select("host").distinct().select("host", F.posexplode(texts).alias("ord", "select"))
+    return placement.resolve_selectors(asked, devices, "host")
+
+
+@_query(" SELECT host, class, idx FROM (SELECT *, row_number() OVER (PARTITION BY host, class ORDER BY idx) AS n FROM dv) WHERE n = 1", _DEVICES)
+def member_lookup(spark, d):
+    return placement.member_index(_devices(spark, d), "host", 0)
+
+
+@_query(
+    """ SELECT s_nationkey AS search_id, class, arg_min(task, s_suppkey) AS task, arg_min(what, s_suppkey) AS what FROM (SELECT s_nationkey, s_suppkey, 'k' || s_suppkey AS task, c AS class,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'run' WHEN s_suppkey % 4 = 1 THEN 'bind' WHEN 'c' || (s_suppkey % 3) = c THEN 'run' WHEN 'c' || (s_suppkey % 3) IN ('c0', 'c1') THEN 'skip' ELSE 'rebind' END AS what FROM supplier, (SELECT unnest(['c0', 'c1']) AS c)) WHERE what <> 'skip' GROUP BY 1, 2"""
+)
+def next_tasks(spark, d):
+    key = F.col("s_suppkey")
+    s = v.read(spark, d, "supplier")
+    queue = s.select(F.col("s_nationkey").alias("search_id"), key.alias("ord"), F.concat(F.lit("k"), key.cast("string")).alias("task"), F.when(key % 4 != 0, key).alias("chain"))
+    chains = s.where(key % 4 > 1).select(key.alias("chain"), F.concat(F.lit("c"), (key % 3).cast("string")).alias("bound"))
+    both = F.array(F.lit("c0"), F.lit("c1"))
+    workers = s.select(F.col("s_nationkey").alias("search_id")).distinct().select("search_id", F.explode(both).alias("class"), both.alias("present"))
+    return placement.next_tasks(queue, chains, workers)
+
+
+@_query(
+    """ SELECT ord, name, CAST(slot - 1 AS INTEGER) AS slot, dest[slot] AS destination FROM (SELECT o_orderkey AS ord, 'n' || (o_orderkey % 30) AS name, CASE WHEN o_orderkey % 30 < 10 THEN [CASE WHEN o_orderkey % 30 % 2 = 0 THEN 'a' || (o_orderkey % 30) END] WHEN o_orderkey % 30 < 20 THEN ['x' || (o_orderkey % 30), 'y' || (o_orderkey % 30)] ELSE list_resize(CAST([] AS VARCHAR[]), o_orderkey % 30 % 3 + 1) END AS dest FROM orders) t, range(1, 4) r(slot) WHERE slot <= len(dest)"""
+)
+def fleet_expansion(spark, d):
+    names = spark.range(30).select(F.col("id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    hosts = names.where("id < 10").select("name", F.when(F.col("id") % 2 == 0, F.concat(F.lit("a"), F.col("id").cast("string"))).alias("address"))
+    spots = F.array(*[F.concat(F.lit(c), F.col("id").cast("string")) for c in "xy"])
+    classes = names.where("id >= 10").select("name", F.when(F.col("id") < 20, spots).alias("addresses"), F.when(F.col("id") >= 20, F.col("id") % 3 + 1).cast("int").alias("count"))
+    key = F.col("o_orderkey")
+    members = v.read(spark, d, "orders").select(key.alias("ord"), F.concat(F.lit("n"), (key % 30).cast("string")).alias("name"))
+    return placement.expand_fleet(members, hosts, classes)
+
+
+@_query(f""" SELECT o_orderkey AS i, CAST(1000 AS BIGINT) AS step, CASE WHEN o_orderkey % 7 > 0 THEN CAST((18446744073709551615::HUGEINT - o_orderkey + (o_orderkey % 7) * 1000) % {_U} AS DECIMAL(20,0)) END AS acc FROM orders""")
+def stepped(spark, d):
+    key = F.col("o_orderkey")
+    seed = F.lit(fn.U64).cast("decimal(20,0)") - key.cast("decimal(18,0)")
+    return placement.stepped(v.read(spark, d, "orders").select(key.alias("i"), seed.cast("decimal(20,0)").alias("seed"), (key % 7).alias("increment")), 1000)
+
+
+@_query(" SELECT x AS search_id, 'p' || (x % 3) AS digest, 'p' || (x % 2) AS bound FROM range(60) t(x) WHERE x % 3 <> x % 2")
+def refused_programs(spark, d):
+    rows = spark.range(60)
+    named = lambda n: F.concat(F.lit("p"), (F.col("id") % n).cast("string")).alias("digest")
+    return placement.refused_programs(rows.select(F.col("id").alias("search_id"), named(2)), rows.select(F.col("id").alias("search_id"), named(3)))

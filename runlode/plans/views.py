@@ -45,7 +45,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bound | (kind == "leased"), (F.col("k") % 25 % 4).cast("long")).alias("worker"),
         F.when(bound, F.concat(F.lit("d"), (F.col("k") % 3).cast("string"))).alias("device"),
         F.when(bound, F.when(F.col("k") % 2 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("k") % 4).cast("string")))).alias("host"),
-        F.when(bound, F.concat(F.lit("v"), (F.col("k") % 2).cast("string"))).alias("driver"),
+        F.when(bound, F.concat(F.lit("v"), (F.col("k") % 5).cast("string"))).alias("driver"),
         F.when(named & (kind != "queued"), (F.col("k") % 3).cast("int")).alias("attempt"),
         F.when(kind.isin("committed", "failed", "rejected"), F.array(F.struct(F.lit("value").alias("name"), F.floor("value").cast("double").alias("value")))).alias("stats"),
         F.when(kind == "committed", F.concat(F.lit("r"), F.col("event_id").cast("string"))).alias("record"),
@@ -67,7 +67,7 @@ e AS (
     CASE WHEN event IN ('worker_bound', 'leased') THEN CAST(k % 25 % 4 AS BIGINT) END AS worker,
     CASE WHEN event = 'worker_bound' THEN 'd' || (k % 3) END AS device,
     CASE WHEN event = 'worker_bound' THEN CASE WHEN k % 2 = 0 THEN '' ELSE 'h' || (k % 4) END END AS host,
-    CASE WHEN event = 'worker_bound' THEN 'v' || (k % 2) END AS driver,
+    CASE WHEN event = 'worker_bound' THEN 'v' || (k % 5) END AS driver,
     CASE WHEN event NOT IN ('search_started', 'worker_bound', 'queued') THEN k % 3 END AS attempt,
     CASE WHEN event IN ('committed', 'failed', 'rejected') THEN floor(value) END AS stat,
     CASE WHEN event = 'committed' THEN 'r' || event_id END AS record,

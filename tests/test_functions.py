@@ -79,7 +79,7 @@ def test_formats(spark):
         fn.per_task(F.lit(3), F.lit(2)).alias("g"),
         fn.number(F.lit(0.0)).alias("h"),
     ).first()
-    assert tuple(row) == ("population=0.5 activity=0.0001 blob=3B", "5", "NaN", "$1.235", "—", "1h 2m", "1.50", "0")
+    assert tuple(row) == ("population=0.5 activity=0.0001 blob=3B", "5", "NaN", "$1.235", "—", "62m05s", "1.50 per task", "0")
 
 
 def test_rules(spark):

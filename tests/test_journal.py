@@ -172,7 +172,11 @@ def test_latest_stats_and_histogram_order(spark):
 
 def test_running_commits_are_anchored(spark):
     j = log(spark, started(0, 9, 4), committed(1, "aa"), started(2, 9, 5), committed(3, "bb"), committed(4, "cc"))
-    assert [(r.seq, r.done) for r in journal.running_commits(j).orderBy("seq").collect()] == [(1, 5), (3, 6), (4, 7)]
+    for block in (1, 2, 3, 100):
+        assert [(r.seq, r.done, r.tasks) for r in journal.running_commits(j, block).orderBy("seq").collect()] == [(1, 5, 9), (3, 6, 9), (4, 7, 9)]
+    j = log(spark, committed(0, "aa"), committed(1, "bb"), started(2, 9, 1), committed(3, "bb"))
+    for block in (1, 2, 3, 100):
+        assert [(r.done, r.tasks) for r in journal.running_commits(j, block).orderBy("seq").collect()] == [(1, 0), (2, 0), (2, 9)]
 
 
 def test_driver_changes(spark):
