@@ -176,6 +176,7 @@ def _table(node: Node, out: _Out, depth: int) -> None:
     captions: list[Node] = []
 
     def gather(part: Node) -> None:
+        bare = True  # cells outside any row make one row
         for x in part.children:
             if not isinstance(x, Node):
                 if x.strip():
@@ -188,7 +189,8 @@ def _table(node: Node, out: _Out, depth: int) -> None:
                 elif x.name == "caption":
                     captions.append(x)
                 elif x.name in ("td", "th"):
-                    rows.append(_cells(part, depth) if part.children[0] is x else [])
+                    rows.append(_cells(part, depth) if bare else [])
+                    bare = False
                 else:
                     loose = _Out()
                     _walk(x, loose, depth)

@@ -37,7 +37,9 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     everything = Window.partitionBy()
     leveled = ranked.withColumn("most", F.col("source_size") * F.lit(cap)).withColumn("level", F.col("most") / F.col("weight")).withColumn("total", F.sum("source_size").over(everything))
     open_ = leveled.withColumn("share", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    level = open_.withColumn("cut", F.min(F.when(F.col("share") <= F.col("level"), F.col("share"))).over(everything))
+    # The least level that a share does not exceed: all sources before it are full, none from it on is.
+    fits = F.when(F.col("share") <= F.col("level"), F.struct("level", "k"))
+    level = open_.withColumn("cut", F.min_by("share", fits).over(everything))
     return level.select("source", "source_size", "weight", "slope", F.least(F.col("most"), F.coalesce(F.col("cut") * F.col("weight"), F.col("most"))).alias("target"))
 
 

@@ -27,9 +27,9 @@ WITH d AS (
 ), l AS (
   SELECT *, most / weight AS level FROM w
 ), c AS (
-  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY level, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY level, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM l
+  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY level, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY level, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share, row_number() OVER (ORDER BY level, k) AS n FROM l
 ), t AS (
-  SELECT source, source_size, slope, least(most, coalesce(min(CASE WHEN share <= level THEN share END) OVER () * weight, most)) AS target FROM c
+  SELECT source, source_size, slope, least(most, coalesce((SELECT arg_min(share, n) FROM c WHERE share <= level) * weight, most)) AS target FROM c
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.slope, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (
