@@ -30,8 +30,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def fold_case(text: Column) -> Column:
-    """A-Z to lower case; every other character stays, as lower() would not have it."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z to lower case; every other character stays, as lower() would not have it.
+
+    lower() is the same, and faster, for texts that are all ASCII.
+    """
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def space_words(text: Column) -> Column:

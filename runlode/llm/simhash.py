@@ -90,13 +90,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, width))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     comp = components(links(nodes.select("fp"), radius))
     linked = nodes.join(comp, nodes["fp"] == comp["node"]).select("fp", "root", "least")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     known = linked.join(roots, "root").select("fp", "root", "component_id")
-    named = nodes.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "th", "fp", "group", "component_id")
+    named = checkpointed(nodes.join(known, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id")))
+    # A fingerprint with a thousandth of all rows or more is joined by broadcast: there are a thousand
+    # of them at most, and their copies stay where they are. The rest meet in a shuffle.
+    total = named.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(named.where(F.col("n") * 1000 >= total).drop("n"))
+    rare = named.where(F.col("n") * 1000 < total).drop("n")
+    rows = fps.join(common, "fp").unionByName(fps.join(common.select("fp"), "fp", "left_anti").join(rare, "fp"))
+    return rows.select("doc_id", "th", "fp", "group", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
