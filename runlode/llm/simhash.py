@@ -8,7 +8,7 @@ differ in at most r positions agree under that v's mask: every link collides in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlode.llm.common import checkpointed, fold_case, space_words
@@ -37,12 +37,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count all 64 and no text that fits a row can overflow one. Sums are taken before the shuffle;
     rows that repeat add up to the same majority and are dealt out again.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select("doc_id", F.xxhash64(F.coalesce("t", F.lit(""))).alias("th"), space_words(fold_case(F.col("t"))).alias("w")).withColumn("n", F.size("w"))
-    m = F.greatest(F.col("n") - (width - 1), F.lit(0))
     columns = [f"w{i}" for i in range(width)]
-    short = F.array(F.struct(*[(F.when(F.col("n") > 0, F.concat_ws(" ", "w")) if c == "w0" else F.lit(None).cast("string")).alias(c) for c in columns]))
-    full = F.arrays_zip(*[F.slice("w", i + 1, m).alias(c) for i, c in enumerate(columns)])
-    shingles = rows.select("doc_id", "th", F.expr("1L").alias("one"), F.when(F.col("n") >= width, full).otherwise(short).alias("s"))
+
+    def shingled(w: Column) -> Column:
+        n = F.size(w)
+        short = F.array(F.struct(*[(F.when(n > 0, F.concat_ws(" ", w)) if c == "w0" else F.lit(None).cast("string")).alias(c) for c in columns]))
+        return F.when(n >= width, F.arrays_zip(*[F.slice(w, i + 1, n - (width - 1)).alias(c) for i, c in enumerate(columns)])).otherwise(short)
+
+    # The words are named several times and computed once: as the variable of a function.
+    words = space_words(fold_case(F.col(text_col)))
+    made = F.transform(F.array(words), shingled)[0]
+    shingles = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), made.alias("s"))
     each = shingles.select("doc_id", "th", F.posexplode("s").alias("i", "g")).select("doc_id", "th", "i", F.when(F.col("g.w0").isNotNull(), F.xxhash64(F.concat_ws(" ", *[F.col(f"g.{c}") for c in columns]))).alias("h"))
     sums = each.groupBy("doc_id", "th").agg(F.count("h").alias("n"), F.count(F.when(F.col("i") == 0, 1)).alias("copies"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(32)])
     fp = F.lit(0).cast("long")
