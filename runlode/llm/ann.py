@@ -102,7 +102,7 @@ def _scan(index: Index, k: int, block: int, eps: float):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000, lists: int = 32, probe: float = 0.7, block: int = 16, eps: float = 2.1, piece: int = 4000, query_block: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000, lists: int = 32, probe: float = 0.8, block: int = 16, eps: float = 2.1, piece: int = 4000, query_block: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by cosine, ties to the smaller id.
 
     queries: rows of vectors, known by the same id; a query is not its own neighbour. Null, zero and
