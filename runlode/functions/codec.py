@@ -177,3 +177,29 @@ def environment_bytes(components: list[tuple[str, str, bytes]], namespace: str =
     for name, version, digest in sorted(components):
         out.text(name).text(version).digest(digest)
     return out.done()
+
+
+def grid_bytes(width: int, height: int, channels: int, values, namespace: str = NAMESPACE) -> bytes:
+    """A grid in cell-major order; as many values as its extents say."""
+    if len(values) != width * height * channels or not values:
+        raise ValueError("the values do not fill the grid")
+    return Encoder().text(f"{namespace}.grid.v1").u32(width).u32(height).u32(channels).f32s(values).done()
+
+
+def grid_from(data: bytes, namespace: str = NAMESPACE) -> tuple[int, int, int, tuple[float, ...]]:
+    d = Decoder(data)
+    if d.text() != f"{namespace}.grid.v1":
+        raise ValueError("not a grid")
+    width, height, channels = d.u32(), d.u32(), d.u32()
+    values = d.f32s(width * height * channels)
+    d.end()
+    return width, height, channels, values
+
+
+def continuation_bytes(step: int, grid: bytes) -> bytes:
+    """What a segment hands to the next: the absolute step, then the grid."""
+    return Encoder().u64(step).raw(grid).done()
+
+
+def continuation_from(data: bytes, namespace: str = NAMESPACE) -> tuple[int, tuple[int, int, int, tuple[float, ...]]]:
+    return Decoder(data).u64(), grid_from(data[8:], namespace)

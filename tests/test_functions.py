@@ -60,6 +60,14 @@ def test_codec():
         codec.search_bytes(1, 0, "f", "g", b"", b"")
 
 
+def test_continuation():
+    grid = codec.grid_bytes(2, 1, 2, [1.0, 2.0, 3.0, 0.5])
+    assert codec.continuation_from(codec.continuation_bytes(7, grid)) == (7, (2, 1, 2, (1.0, 2.0, 3.0, 0.5)))
+    for bad in (grid[:-1], grid + b"x", b""):
+        with pytest.raises(ValueError):
+            codec.grid_from(bad)
+
+
 def test_identities_depend_on_every_part():
     h = [bytes([k]) * 32 for k in range(4)]
     base = codec.TaskIdentity(h[0], h[1], 5, h[2])

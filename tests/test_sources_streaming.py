@@ -5,7 +5,7 @@ import pytest
 from runlode.operators import journal as ops
 from runlode.sources import config, ledgers
 from runlode.sources import journal as src
-from runlode.streaming import status
+from runlode.streaming import collector, status
 
 LINES = [
     {"ts_ms": 1, "event": "search_started", "search": "s", "tasks": 2, "committed": 0},
@@ -71,6 +71,17 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert rows[-1] == batch and json.loads(batch.devices) == {"d": 1} and batch.tasks == 2
 
 
+def test_collector_writes_what_follow_reads(spark, tmp_path):
+    schema = "search_id string, ord long, event string"
+    rows = [("s", k, json.dumps({a: b for a, b in x.items() if a != "ts_ms"})) for k, x in enumerate(LINES)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    (tmp_path / "out").mkdir()
+    query = collector.collect(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c", now_ms=lambda: 5, availableNow=True)
+    assert query.awaitTermination(60)
+    got = src.read_journal(spark, f"{tmp_path}/out/s.jsonl").orderBy("seq").collect()
+    assert [(r.event, r.ts_ms) for r in got] == [(x["event"], 5) for x in LINES]
+
+
 def test_fold_ignores_what_it_has_seen():
     f = status.Fold()
     f.apply(0, "committed", "a", None, None, None, None)
