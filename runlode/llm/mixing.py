@@ -4,7 +4,8 @@ The mix is a line of training time from 0 to 1. Each source demands words at a r
 linearly over that time; the integral of the rate over all time is the source's target. A source's
 documents, in the order of a digest of their ids and repeated as often as the target asks, meet that
 demand one after another: where the demand that has built up equals the words handed out so far, the
-next document is placed. That inverts a quadratic. The whole mix is then sorted by position.
+next document is placed, once for each round. That inverts a quadratic. The whole mix is then sorted
+by position.
 """
 
 from __future__ import annotations
@@ -44,13 +45,13 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, pieces: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of docs: doc_id, source, size, source_size, target, taken, position, and ``keep``.
+    """For each row of docs: doc_id, source, size, source_size, target, taken, position, positions, and ``keep``.
 
     taken: words of this document that the mix takes, repeats counted. All documents of a source are
     taken equally often but for the last round, which goes down the order until the target is met
     and takes of its last document the words still missing, so a source's taken words are its target
-    rounded down. position: training time in [0, 1) of the document's first word in its first round,
-    null if nothing is taken. Null texts and texts without words have size 0 and are never taken; null
+    rounded down. positions: training time in [0, 1) of the document's first word in each round that
+    takes of it, empty if none does; position: the first of them, or null. Null texts and texts without words have size 0 and are never taken; null
     sources are one source; rows that repeat are separate rows and follow each other.
 
     Order in a source: md5 of the id, then of the text. Sums run in two levels, over ``pieces``
@@ -76,7 +77,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounds = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0).cast("long"))
     last = whole - rounds * F.col("source_size")
     taken = F.col("size") * rounds + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), last - F.col("offset")))
-    return joined.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, inverse_demand(F.col("offset") / F.col("target"), F.col("slope"))).alias("position"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+    times = F.when(F.col("taken") > 0, (rounds + F.when(last > F.col("offset"), 1).otherwise(0)).cast("int")).otherwise(0)
+    at = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), F.lit(1), times), lambda r: inverse_demand((r * F.col("source_size") + F.col("offset")) / F.col("target"), F.col("slope")))
+    return joined.withColumn("taken", taken).withColumn("positions", at).select("doc_id", "source", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions", *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
 def inverse_demand(share: Column, slope: Column) -> Column:
@@ -90,5 +93,10 @@ def inverse_demand(share: Column, slope: Column) -> Column:
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """The taken documents, range-sorted by position; documents that are not taken go."""
-    return mixed.where("taken > 0").orderBy("position", "source", "doc_id")
+    """A row for each round that takes of a document, range-sorted by its own position, with the round
+    from 0 and the words it takes as ``taken``; documents that are not taken go.
+    """
+    columns = [c for c in mixed.columns if c not in ("taken", "position", "positions")]
+    each = mixed.select("*", F.posexplode("positions").alias("round", "_at"))
+    words = F.when(F.col("round") < F.size("positions") - 1, F.col("size")).otherwise(F.col("taken") - F.col("size") * F.col("round"))
+    return each.select(*columns, "round", words.alias("taken"), F.col("_at").alias("position")).orderBy("position", "source", "doc_id")

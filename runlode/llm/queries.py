@@ -11,7 +11,8 @@ from runlode.llm.common import checkpointed, remainder, table
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    ordered = mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 ORACLE_OP1 = r"""
