@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is raw text; their end tag alone ends them.
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title".split())
-HIDDEN = frozenset("head script style noscript template iframe noembed noframes svg math object audio video canvas datalist select title".split())
+HIDDEN = frozenset("head script style noscript template iframe noembed noframes object audio video canvas datalist title".split())
+#: What is not shown within these.
+UNSEEN = {"svg": {"desc", "metadata"}, "math": {"annotation", "annotation-xml"}}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: Blocks with a blank line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
@@ -37,7 +39,8 @@ CLOSES = {
 #: An end tag does not reach past these for its start tag.
 SCOPE = {"li": {"ul", "ol", "table"}, "p": {"table", "td", "th"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HIDING = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s]*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING = re.compile(r"hidden|style", re.I)  # only then are the attributes read
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _COLSPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -97,7 +100,8 @@ def parse(page: str) -> Node:
             shut({"p"}, {"td", "th", "table", "button", "object"})
         if name in BLOCK:
             shut({"head"}, set())
-        node = Node(name, m["attrs"])
+        unseen = any(name in names and any(x.name == outer for x in stack) for outer, names in UNSEEN.items())
+        node = Node(name, m["attrs"] + " hidden" * unseen)
         stack[-1].children.append(node)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCK | RAW:
             continue
@@ -119,7 +123,18 @@ def width(text: str) -> int:
 
 
 def visible(node: Node) -> bool:
-    return node.name not in HIDDEN and not (node.attrs and _HIDING.search(node.attrs))
+    return node.name not in HIDDEN and not (node.attrs and _HIDING.search(node.attrs) and hides(node.attrs))
+
+
+def hides(attrs: str) -> bool:
+    """Whether a hidden attribute, aria-hidden=true or the style hides the element."""
+    values: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style = {k.strip(): v.replace("!important", "").strip() for k, _, v in (x.partition(":") for x in values.get("style", "").lower().split(";"))}
+    return style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
 
 
 class _Out:
@@ -253,7 +268,7 @@ def _walk(node: Node, out: _Out, depth: int = 0, pre: bool = False) -> None:
             if inner.parts:
                 out.write(mark + inner.text().replace("\n", "\n" + " " * len(mark)))
             out.need(1)
-        elif x.name in BLOCK:
+        elif x.name in BLOCK or x.name == "text":  # a label of a drawing
             feeds = 2 if x.name in SPACED and not (x.name in ("ul", "ol") and node.name == "li") else 1
             out.need(feeds)
             _walk(x, out, depth + 1, x.name == "pre")
@@ -269,7 +284,7 @@ def _flat(node: Node, out: _Out) -> None:
         if not isinstance(x, Node):
             out.flow(x)
         elif visible(x):
-            if x.name in BLOCK or x.name == "br":
+            if x.name in BLOCK or x.name in ("br", "text"):
                 out.need(1)
             todo += reversed(x.children)
 
