@@ -174,15 +174,56 @@ class _Out:
         return "".join(self.parts)
 
 
-def _cells(row: Node, depth: int) -> list[str]:
+def _holds_cells(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        for x in todo.pop().children:
+            if isinstance(x, Node) and x.name != "table":
+                if x.name in ("td", "th"):
+                    return True
+                todo.append(x)
+    return False
+
+
+def _cells(row: Node, depth: int, only: bool = False) -> list[str]:
+    """The cells of a row, those in wrappers too; other text between them is a cell of its own.
+
+    only: cells that are children, and nothing else.
+    """
     out: list[str] = []
-    for cell in row.children:
-        if isinstance(cell, Node) and cell.name in ("td", "th") and visible(cell):
-            inner = _Out()
-            _walk(cell, inner, depth)
-            out.append(_SPACE.sub(" ", inner.text()).strip())
-            span = _COLSPAN.search(cell.attrs)
-            out += [""] * (min(int(span[1]), 100) - 1 if span else 0)
+    loose = _Out()
+
+    def close() -> None:
+        nonlocal loose
+        if loose.parts:
+            out.append(_SPACE.sub(" ", loose.text()).strip())
+            loose = _Out()
+
+    def take(part: Node, depth: int) -> None:
+        for x in part.children:
+            if isinstance(x, Node) and x.name in ("td", "th"):
+                if not visible(x):
+                    continue
+                close()
+                inner = _Out()
+                _walk(x, inner, depth)
+                out.append(_SPACE.sub(" ", inner.text()).strip())
+                span = _COLSPAN.search(x.attrs)
+                out.extend([""] * (min(int(span[1]), 100) - 1 if span else 0))
+            elif only:
+                continue
+            elif not isinstance(x, Node):
+                loose.flow(x)
+            elif visible(x):
+                if x.name != "table" and depth <= _DEPTH and _holds_cells(x):
+                    take(x, depth + 1)
+                else:
+                    alone = Node("tr")
+                    alone.children.append(x)
+                    _walk(alone, loose, depth)
+
+    take(row, depth)
+    close()
     return out
 
 
@@ -204,7 +245,7 @@ def _table(node: Node, out: _Out, depth: int) -> None:
                 elif x.name == "caption":
                     captions.append(x)
                 elif x.name in ("td", "th"):
-                    rows.append(_cells(part, depth) if bare else [])
+                    rows.append(_cells(part, depth, only=True) if bare else [])
                     bare = False
                 else:
                     loose = _Out()

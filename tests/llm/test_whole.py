@@ -60,3 +60,18 @@ def test_quoted_values_hide_nothing(attrs):
 )
 def test_shown_elements_keep_their_text(page, text):
     assert html_text.text_of(page) == text
+
+
+@pytest.mark.parametrize(
+    ("row", "text"),
+    [
+        ("note<td>x</td>", "note  x"),
+        ("<b>x</b>", "x"),
+        ("<form><td>a</td></form>", "a"),
+        ("<form><td>a<td>b</form><td>c", "a  b  c"),
+        ("<td>a</td>some <b>more</b><td>c", "a  some more  c"),
+        ("<i hidden>no</i><td>a", "a"),
+    ],
+)
+def test_rows_keep_what_is_not_in_cells(row, text):
+    assert html_text.text_of(f"<table><tr>{row}</tr></table>") == text
