@@ -3,12 +3,44 @@
 import math
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from runlode.llm import html_text, lm, mixing, queries
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_are_those_of_brute_force_jaccard(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    line = [word() for _ in range(30)]
+    texts = [[word() for _ in range(rng.randint(3, 120))] + line * (k % 3 == 0) for k in range(120)]
+    for base in [*texts[:40], *[texts[0]] * 60]:  # near copies of all degrees, and one large group
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["", "  ", "A b", "a B", "a b c"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    root, sets = list(range(len(texts))), [shingles(t) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == set(root) and len(got) < len(texts) - 30
+
+
 def test_words_beyond_the_most_frequent_predict_each_other(spark):
     rng = random.Random(5)
     def text():
