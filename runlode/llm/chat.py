@@ -55,22 +55,46 @@ def fold(log: DataFrame) -> DataFrame:
     restart = F.col("op").isin("message", "edit", "regenerate", "delete")
     versions = rows.where(restart | (F.col("op") == "delta")).withColumn("version", F.sum(restart.cast("int")).over(so_far)).withColumn("pos", F.row_number().over(turn))
     last = Window.partitionBy("conv_id", "turn")
-    kept = versions.withColumn("final", F.max("version").over(last)).where("version = final")
+    # A turn that was edited keeps the role it was started with if the edit names none.
+    named = F.max_by("role", F.when(F.col("role") != "", F.col("pos"))).over(last)
+    kept = versions.withColumn("final", F.max("version").over(last)).withColumn("said", named).where("version = final")
     messages = kept.groupBy("conv_id", "turn").agg(
         F.min("seq").alias("since"),
         F.max(F.when(F.col("op").isin("edit", "regenerate"), F.col("seq"))).alias("reset"),
         F.min_by("op", "pos").alias("first_op"),
         F.max_by("role", F.when(F.col("role") != "", F.col("pos"))).alias("role"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"),
+        F.max("said").alias("said"),
     )
-    # A turn that was edited keeps the role it was started with if the edit names none.
-    started = versions.where("role <> ''").groupBy("conv_id", "turn").agg(F.max_by("role", "pos").alias("said"))
-    named = messages.join(started, messages["conv_id"].eqNullSafe(started["conv_id"]) & messages["turn"].eqNullSafe(started["turn"]), "left").select(messages["*"], "said")
     earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    alive = named.withColumn("cut", F.max("reset").over(earlier)).where("(cut is null or since > cut) and first_op <> 'delete'")
+    alive = messages.withColumn("cut", F.max("reset").over(earlier)).where("(cut is null or since > cut) and first_op <> 'delete'")
     return alive.select("conv_id", "turn", F.coalesce("role", "said", F.lit("")).alias("role"), "text")
 
 
+def as_log(rows: DataFrame) -> DataFrame:
+    """The event log that a client streaming ``rows`` (conv_id, turn, role, text) would leave.
+
+    Each row becomes a turn of its own, numbered in the order of turn, role and text within its
+    conversation, nulls first. By number, in turn: a message whose second half comes as a delta; a
+    draft that is regenerated and streamed in two deltas; a message that an edit replaces.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    numbered = rows.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (F.row_number().over(order) - 1).cast("long").alias("turn")).withColumn("half", half)
+    first, rest = F.expr("substring(text, 1, half)"), F.expr("substring(text, half + 1)")
+    none = F.lit("")
+
+    def event(op: str, role: Column, said: Column) -> Column:
+        return F.struct(F.lit(op).alias("op"), role.alias("role"), said.alias("text"))
+
+    streamed = F.array(event("message", F.col("role"), first), event("delta", none, rest))
+    regenerated = F.array(event("message", F.col("role"), F.lit("draft")), event("regenerate", none, none), event("delta", none, first), event("delta", none, rest))
+    edited = F.array(event("message", F.col("role"), F.lit("draft")), event("edit", none, F.col("text")))
+    events = F.when(F.col("turn") % 3 == 0, streamed).when(F.col("turn") % 3 == 1, regenerated).otherwise(edited)
+    return numbered.select("conv_id", "turn", F.posexplode(events).alias("k", "e")).select("conv_id", (F.col("turn") * 4 + F.col("k")).alias("seq"), "turn", "e.op", "e.role", "e.text")
+
+
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) from rows (conv_id, turn, role, text).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words for the operators that split on white space.
@@ -19,14 +19,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder so that a lost executor does not lose them.
 
-    The folder is what the session names in spark.checkpoint.dir; a temporary one is made only if
-    it names none, which is so in local tests.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
+
+    A temporary one is made only if it names none and the master is local, as in tests; on a cluster
+    that is an error.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(named)
+    return named
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that df does not have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def known(key: Column) -> Column:
+    """The key as text that tells a null from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
+def one_of_each(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose (id, text hash) is in stay (k, h): one of each, with all columns of docs."""
+    k, h, n = fresh(docs, "_k", "_h", "_n")
+    keyed = docs.withColumn(k, known(F.col(id_col))).withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keyed.join(stay.select(F.col("k").alias(k), F.col("h").alias(h)).distinct(), [k, h], "left_semi")
+    return joined.withColumn(n, F.row_number().over(Window.partitionBy(k, h).orderBy(k))).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fold_case(text: Column) -> Column:

@@ -1,10 +1,11 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Candidate spans come from generous patterns. Labelers (exact formats, a gazetteer of domains and
-countries' forms, words around the span) vote yes, no or nothing on each. Expectation-maximisation
-over the counted vote patterns estimates how reliable each labeler is and how likely each pattern is
-personal data; those probabilities, as soft labels, train the final classifier on the span's own
-shape. What leaves the tables for this is one row for each distinct pattern, whose number does not
+Candidate spans come from generous patterns. Labelers (exact formats, a gazetteer of domains, number
+ranges and key prefixes, words before the span, its neighbouring characters) vote yes, no or nothing
+on each. Expectation-maximisation over the counted vote patterns estimates, for each kind, how
+reliable each labeler is and how likely each pattern is personal data; those probabilities, as soft
+labels, train the final classifier, which sees the span's own shape and the characters beside it and
+no votes. What leaves the tables for this is one row for each distinct pattern, whose number does not
 depend on the data.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: The method looks for one kind more than the base has: keys and tokens that open something.
+ALL_KINDS = (*KINDS, "secret")
 #: Fixed forms of the base: leftmost, not overlapping, per kind. The guards in front only spare the
 #: search starts that cannot begin a match, or that a longer match at an earlier start covers.
 BASE = {
@@ -32,8 +35,10 @@ BASE = {
 WIDE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,4}",
     "phone": r"(?<![+0-9A-Za-z.(-])(?<![0-9][ -])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[ .-][0-9])",
-    "card": r"(?<![0-9A-Za-z.-])(?<![0-9][ ])[0-9]{4}(?:[ .–_/][0-9]{4}){3}(?![0-9A-Za-z]|[ .–_/-][0-9])",
+    "card": r"(?<![0-9A-Za-z.+-])(?<![0-9][ ])(?:[0-9]{4}(?:[ .–_/][0-9]{4}){3}|[0-9]{14,19})(?![0-9A-Za-z]|[ .–_/-][0-9])",
     "ip": r"(?i)(?<![0-9a-f:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:.])",
+    # A run of 20 or more letters and digits that has both; signs that keys hold may stand between.
+    "secret": r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9@])",
 }
 #: Words that stand before personal data of a kind, fixed.
 CONTEXT = {
@@ -41,7 +46,10 @@ CONTEXT = {
     "ip": "ip|host|server|address|login|from|adresse",
     "card": "card|visa|mastercard|amex|pay|carte|karte|tarjeta|number",
     "phone": "phone|tel|call|mobile|fax|cell|contact|telefon|appel|llame|ring",
+    "secret": "token|secret|passw|pwd|api|key|auth|bearer|credential|clave|clé|kennwort|schlüssel",
 }
+#: What keys of common services begin with, fixed.
+PREFIXES = "sk[-_]|pk[-_]|ghp_|gho_|glpat-|xox[abprs]-|AKIA|ASIA|AIza|eyJ"
 #: Top-level domains that mail addresses end in, fixed.
 DOMAINS = "com|org|net|edu|gov|io|co|info|biz|de|fr|es|uk|us|eu|it|nl|ch|at|be"
 VOTES = ("format", "gazetteer", "context", "neighbourhood")
@@ -82,7 +90,9 @@ def _may_have(kind: str, text: Column, base: bool) -> Column:
         return F.contains(text, F.lit("+")) if base else text.rlike("[0-9]{3}[ .-][0-9]{4}")
     if kind == "ip":
         return text.rlike(r"[0-9]\.[0-9]") if base else text.rlike("(?i)[0-9a-f]:[0-9a-f]")
-    return text.rlike(r"[0-9](?:[ -]?[0-9]){13}") if base else text.rlike("[0-9]{4}[ .–_/][0-9]{4}")
+    if kind == "secret":
+        return text.rlike("[A-Za-z0-9_+/-]{20}")
+    return text.rlike(r"[0-9](?:[ -]?[0-9]){13}") if base else text.rlike("[0-9]{4}[ .–_/][0-9]{4}|[0-9]{14}")
 
 
 def _matches(pattern: str, text: Column) -> Column:
@@ -115,6 +125,11 @@ def _votes(kind: str, span: Column, before: Column, after: Column, base: bool) -
         form, gaz = _vote(_valid("ip", span) if base else F.lit(True), F.lit(True)), _vote(span.rlike("^(?:[1-9]|0{0,3}:|[1-9a-fA-F])"), span.rlike("^0|^255"))
     elif kind == "card":
         form, gaz = _vote(_luhn(digits), F.lit(True)), _vote(digits.rlike("^[3-6]"), digits.rlike("^[01789]"))
+    elif kind == "secret":
+        n, others = F.length(span), F.length(F.regexp_replace(span, "[^0-9]", ""))
+        plain = (others * 10 < n) | span.rlike("(?:^|[/_-])[a-z]{3,}(?:[/_-]|$)")  # a path, or words with a number
+        mixed = span.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & (n >= 32) | span.rlike("(?=.*[a-z])(?=.*[A-Z])") & (n >= 24)
+        form, gaz = _vote(mixed & ~plain, plain), _vote(span.rlike(f"^(?:{PREFIXES})"), F.lit(False))
     else:
         form, gaz = _vote(F.length(digits).between(10, 15), F.lit(True)), _vote(digits.rlike("^[2-9]") | span.startswith("+"), digits.rlike("^[01]"))
     near = _vote(before.rlike(rf"(?i)(?:{CONTEXT[kind]})[^0-9\n]*$"), F.lit(False))
@@ -122,11 +137,23 @@ def _votes(kind: str, span: Column, before: Column, after: Column, base: bool) -
     return F.array(form, gaz, near, edge)
 
 
-def _shape(kind: str, span: Column, base: bool) -> Column:
-    """The features of the final classifier: kind and pattern, length, share of digits, separators."""
+def _beside(c: Column) -> Column:
+    """The class of the character at one side of a span."""
+    return F.when(c == "", "end").when(c.rlike(r"\s"), "space").when(c.rlike("[\"'`]"), "quote").when(c.rlike("[=:]"), "sets").when(c.rlike("[.,;!?)(]"), "point").otherwise("other")
+
+
+def _shape(kind: str, span: Column, before: Column, after: Column, base: bool) -> Column:
+    """The features of the final classifier, each within the span's kind.
+
+    They are the pattern (base or wide), the length, the share of digits, the make-up of letters and
+    separators, the characters beside the span, the last word before it if that is one of CONTEXT, and
+    for card numbers whether the check digit is right.
+    """
     n = F.length(span)
     share = F.length(F.regexp_replace(span, "[^0-9]", "")) * 4 / n
-    return F.concat_ws("|", F.lit(f"{kind}{'' if base else '*'}"), F.concat(F.lit("n"), F.least(F.floor(n / 6), F.lit(5)).cast("string")), F.concat(F.lit("d"), F.floor(share).cast("string")), F.when(span.rlike("[ (]"), "spaced").otherwise("tight"))
+    letters = F.when(span.rlike("^[0-9a-f]+$"), "hex").when(span.rlike("[a-z]") & span.rlike("[A-Z]"), "mixed").when(span.rlike("[A-Za-z]"), "letters").otherwise("none")
+    word = F.lower(F.regexp_extract(before, rf"(?i)({CONTEXT[kind]})[^A-Za-z0-9]{{0,6}}$", 1))
+    return F.concat_ws("|", F.lit(f"{kind}{'' if base else '*'}"), F.concat(F.lit("n"), F.least(F.floor(n / 6), F.lit(8)).cast("string")), F.concat(F.lit("d"), F.floor(share).cast("string")), F.when(span.rlike("[ (]"), "spaced").when(span.rlike("[./_–-]"), "joined").otherwise("tight"), letters, _beside(F.right(before, F.lit(1))), _beside(F.left(after, F.lit(1))), word, F.when(_luhn(F.regexp_replace(span, "[^0-9]", "")), "sum").otherwise("") if kind == "card" else F.lit(""))
 
 
 def _voted(kind: str, base: bool, found: Column, text: Column) -> Column:
@@ -135,7 +162,7 @@ def _voted(kind: str, base: bool, found: Column, text: Column) -> Column:
     def span(x: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), x["start"] - 39), F.least(F.lit(40), x["start"]))
         after = F.substring(text, x["end"] + 1, F.lit(2))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), _votes(kind, x["span"], before, after, base).alias("votes"), _shape(kind, x["span"], base).alias("shape")).cast(SPAN)
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), _votes(kind, x["span"], before, after, base).alias("votes"), _shape(kind, x["span"], before, after, base).alias("shape")).cast(SPAN)
 
     return F.transform(F.filter(found, lambda x: _valid(kind, x["span"])) if base else found, span)
 
@@ -144,8 +171,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """For each row of docs: doc_id, spans (array of SPAN, base matches and wider ones), and ``keep``.
 
     A base match counts only if it is valid (parts of addresses at most 255, card numbers that pass
-    Luhn, phones of 10 to 15 digits). A wider match that overlaps a base match of any kind goes. Null
-    and empty texts have no spans. Kept columns keep their names unless they are one of these two.
+    Luhn, phones of 10 to 15 digits). A wider match that overlaps a base match of any kind goes, and
+    so does a secret that overlaps another wider match. Null and empty texts have no spans. Kept columns keep their names unless they are one of these two.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
@@ -159,10 +186,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             name = f"_{kind}{int(base)}"
             rows = rows.withColumn(name, F.when(test, _matches(pattern, text)).otherwise(F.array().cast(_PLACED)))
             made[name] = F.when(F.size(name) > 0, _voted(kind, base, F.col(name), text)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    strict, loose = (F.concat(*[v for k, v in made.items() if k.endswith(str(b))]) for b in (1, 0))
-    rows = rows.withColumn("_strict", strict).withColumn("_loose", loose)
-    apart = F.filter("_loose", lambda x: ~F.exists("_strict", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return rows.select("doc_id", F.concat("_strict", apart).alias("spans"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    strict = F.concat(*[v for k, v in made.items() if k.endswith("1")])
+    loose = F.concat(*[v for k, v in made.items() if k.endswith("0") and "secret" not in k])
+
+    def apart(found: str, taken: str) -> Column:
+        return F.filter(found, lambda x: ~F.exists(taken, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+
+    rows = rows.withColumn("_strict", strict).withColumn("_loose", loose).withColumn("_open", made["_secret0"])
+    rows = rows.withColumn("_spans", F.when(F.size("_loose") == 0, F.col("_strict")).otherwise(F.concat("_strict", apart("_loose", "_strict"))))
+    spans = F.when(F.size("_open") == 0, F.col("_spans")).otherwise(F.concat("_spans", apart("_open", "_spans")))
+    return rows.select("doc_id", spans.alias("spans"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], str, int]], rounds: int = 50) -> tuple[dict, dict]:
@@ -170,9 +203,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], str, int]], rounds: int = 50)
 
     patterns: (votes, shape, count). Each labeler's chance of each vote is estimated for spans that
     are and are not personal data, starting from the votes' mean, with one pseudo-count a cell. The
-    classifier is a naive Bayes over the parts of the shape, fitted to the posteriors as soft
-    labels, and the posterior's evidence of the votes. Returns (vote log-odds, shape log-odds), each
-    with the prior under the key None.
+    classifier is a naive Bayes over the parts of the shape, fitted to the posteriors as soft labels. Returns (vote log-odds, shape log-odds), each with the prior under the
+    key None.
     """
     rows = [(v, s.split("|"), n) for v, s, n in patterns]
     soft = [min(0.95, max(0.05, 0.5 + 0.4 * sum(v) / max(1, sum(map(abs, v))))) for v, _, _ in rows]
@@ -201,30 +233,35 @@ def estimate(patterns: list[tuple[tuple[int, ...], str, int]], rounds: int = 50)
     return votes, shapes
 
 
-def fit(found: DataFrame) -> tuple[dict, dict]:
-    """The model from all candidate spans; what is collected is counted patterns, a bounded number."""
-    counted = found.select(F.explode("spans").alias("s")).groupBy("s.votes", "s.shape").agg(F.count("*").alias("n"))
-    return estimate([(tuple(r["votes"]), r["shape"], r["n"]) for r in counted.orderBy("votes", "shape").collect()])
+def fit(found: DataFrame) -> dict[str, tuple[dict, dict]]:
+    """A model for each kind from all candidate spans; what is collected is counted patterns, a bounded number."""
+    counted = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").agg(F.count("*").alias("n"))
+    by_kind: dict[str, list] = {k: [] for k in ALL_KINDS}
+    for r in counted.orderBy("kind", "votes", "shape").collect():
+        by_kind[r["kind"]].append((tuple(r["votes"]), r["shape"], r["n"]))
+    return {k: estimate(v) for k, v in by_kind.items() if v}
 
 
-def _score(span: Column, model: tuple[dict, dict]) -> Column:
-    votes, shapes = model
-    terms = [F.lit(float(votes[None]))]
-    for j in range(len(VOTES)):
-        x = span["votes"][j]
-        terms.append(F.when(x == 1, float(votes.get((j, 1), 0.0))).when(x == -1, float(votes.get((j, -1), 0.0))).otherwise(float(votes.get((j, 0), 0.0))))
+def _score(span: Column, model: dict[str, tuple[dict, dict]]) -> Column:
+    """The classifier's probability: the prior of the span's kind and one weight for each part of its shape."""
     parts = F.split(span["shape"], "\\|")
-    for (j, x), w in sorted((k, w) for k, w in shapes.items() if k is not None):
-        terms.append(F.when(parts[j] == x, float(w)).otherwise(0.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(add, terms)))
-
-
-def label(found: DataFrame, model: tuple[dict, dict], threshold: float = 0.5) -> DataFrame:
+    out = F.lit(0.0)
+    for kind, (_, shapes) in sorted(model.items()):
+        terms = [F.lit(float(shapes[None]))]
+        for j in sorted({k[0] for k in shapes if k is not None}):
+            own = sorted((x, w) for k, w in shapes.items() if k is not None and k[0] == j for x in (k[1],))
+            terms.append(F.element_at(F.create_map(*[F.lit(y) for x, w in own for y in (x, float(w))]), parts[j]))
+        score = F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(add, [F.coalesce(t, F.lit(0.0)) for t in terms])))
+        out = F.when(span["kind"] == kind, score).otherwise(out)
+    return out
+
+
+def label(found: DataFrame, model: dict[str, tuple[dict, dict]], threshold: float = 0.5) -> DataFrame:
     """``found`` with spans: all base ones, and the wider ones that the classifier takes, in order.
 
-    Each has kind, start, end and base; the order is by start, then kind as in KINDS, then end.
+    Each has kind, start, end and base; the order is by start, then kind as in ALL_KINDS, then end.
     """
-    rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
+    rank = lambda k: F.array_position(F.array(*map(F.lit, ALL_KINDS)), k)
     taken = F.filter("spans", lambda x: x["base"] | (_score(x, model) >= threshold))
     keyed = F.array_sort(F.transform(taken, lambda x: F.struct(x["start"].alias("start"), rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"))))
     empty = F.size("spans") == 0

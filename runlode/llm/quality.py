@@ -8,7 +8,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Terms: hashed pairs of bytes, hashed triples of character classes, and bins of repetition.
@@ -107,27 +107,38 @@ def train(x: np.ndarray, labels: np.ndarray, rank: int = 32, neighbours: int = 1
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [terms(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["label", "x"])
+        rows = [terms(t).tobytes() for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.binary())], names=["label", "o", "h", "x"])
+
+
+def agreed(labels: DataFrame, usable: Column, id_col: str, label_col: str) -> DataFrame:
+    """(_id, label): the usable ids that have one label, 0 or 1, however often."""
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_id").isNotNull()).where(usable)
+    return rows.groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most").drop("_most")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, rank: int = 32, neighbours: int = 15) -> Model:
     """A model of at most ``per_class`` labelled documents of each class, the bound of what is broadcast.
 
     usable: a condition on id_col in labels; other labels are not looked at. The documents are those
-    with the least digests of their ids, so the choice does not depend on the partitioning. Labels
-    that are null or neither 0 nor 1 take no part. The prior is the share of label 1 among all usable
-    labels, 0.5 if there is none.
+    with the least digests of their ids, then of their texts, so the choice does not depend on the
+    partitioning; of rows that repeat one is learned from. Labels that are null or neither 0 nor 1
+    take no part, nor do ids with both labels. The prior is the share of label 1 among all usable
+    ids, 0.5 if there is none.
     """
-    usable_rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(usable)
+    usable_rows = agreed(labels, usable, id_col, label_col)
     ones, n = usable_rows.agg(F.sum("label"), F.count("*")).first()
     order = F.md5(F.col("_id").cast("string").cast("binary"))
     chosen = [r for y in (0, 1) for r in usable_rows.where(F.col("label") == y).orderBy(order, "_id").limit(per_class).collect()]
     if not chosen:
         return train(np.zeros((0, TERMS), np.float32), np.zeros(0), rank, neighbours)
-    picked = docs.sparkSession.createDataFrame(chosen, usable_rows.schema).dropDuplicates(["_id"])
+    picked = docs.sparkSession.createDataFrame(chosen, usable_rows.schema)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
-    got = texts.select("label", "_text").mapInArrow(_featurize, "label int, x binary").limit(8 * per_class).collect()
+    found = texts.select("label", order.alias("o"), F.xxhash64("_text").alias("h"), "_text").mapInArrow(_featurize, "label int, o string, h long, x binary")
+    # An id may have any number of rows: they are made one a text, and then cut to the bound.
+    single = found.groupBy("label", "o", "h").agg(F.min("x").alias("x"))
+    first = Window.partitionBy("label").orderBy("o", "h")
+    got = single.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class).collect()
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype=np.float32).reshape(len(got), TERMS)
     y = np.array([r["label"] for r in got], dtype=np.float64)
     order_ = np.lexsort((*x.T[::97], y))

@@ -8,10 +8,10 @@ differ in at most r positions agree under that v's mask: every link collides in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlode.llm.common import checkpointed, fold_case, space_words
+from runlode.llm.common import checkpointed, fold_case, known, one_of_each, space_words
 from runlode.llm.graph import components
 
 BITS = 64
@@ -99,8 +99,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links(nodes.select("fp"), radius))
     linked = nodes.join(comp, nodes["fp"] == comp["node"]).select("fp", "root", "least")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.join(roots, "root").select("fp", "root", "component_id")
-    named = checkpointed(nodes.join(known, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id")))
+    grouped = linked.join(roots, "root").select("fp", "root", "component_id")
+    named = checkpointed(nodes.join(grouped, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id")))
     # A fingerprint with a thousandth of all rows or more is joined by broadcast: there are a thousand
     # of them at most, and their copies stay where they are. The rest meet in a shuffle.
     total = named.agg(F.sum("n")).first()[0] or 0
@@ -113,16 +113,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs that stay: one of each group, the one with the least id, then text hash.
 
-    Of rows that repeat one stays; a null id counts as the empty one and comes first. All columns of
-    docs are returned.
+    Of rows that repeat one stays; a null id comes after all others. All columns of docs are returned.
     """
     found = near_duplicates(docs, id_col, text_col, width, radius)
-    least = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id"), F.col("th"))).alias("r"))
-    stay = least.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("r.th").alias("_h")).distinct()
-    keyed = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(stay, ["_k", "_h"], "left_semi")
-    first = Window.partitionBy("_k", "_h").orderBy("_k")
-    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    least = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("r"))
+    return one_of_each(docs, least.select(known(F.col("r.doc_id")).alias("k"), F.col("r.th").alias("h")), id_col, text_col)
 
 
 def hex_fingerprint(fp):

@@ -10,15 +10,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlode.llm.common import checkpointed
+from runlode.llm.quality import agreed
+
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
 
+def _lowered(text: str) -> str:
+    """The text in lower case if that keeps every character's place, else the text as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else text
+
+
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+    return [w.lower() for w in TOKEN.findall(_lowered(text or ""))]
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -172,7 +181,8 @@ def train(docs: Iterable[tuple[list[str], bool]], per_class: int = 400, rounds:
     Marked words of toxic documents are the tagged tokens. The conditional likelihood of the tags of
     the first ``per_class`` documents of each class is maximised with Adam; the gradient of each
     weight is its observed count less its expected count under the marginals. Weights are kept for the
-    features of tagged words; those that only clean words have are left to the bias.
+    features of tagged words; those that only clean words have are left to the bias. Documents of one
+    class only make a model that gives every word that class.
     """
     numbers: dict[str, int] = {}
     coded: list[np.ndarray] = []
@@ -181,7 +191,7 @@ def train(docs: Iterable[tuple[list[str], bool]], per_class: int = 400, rounds:
         coded.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in tokens_), np.int32, len(tokens_)))
         toxic.append(y)
     if not any(toxic) or all(toxic):
-        return Model({"": -10.0}, np.zeros((2, 2)), 0.0, prior)
+        return Model({"": 10.0 if any(toxic) else -10.0}, np.zeros((2, 2)), 0.0, prior)
     words = list(numbers)
     marked = markers(coded, words, toxic)
     room = {True: per_class, False: per_class}
@@ -228,41 +238,47 @@ def train(docs: Iterable[tuple[list[str], bool]], per_class: int = 400, rounds:
     return Model(weights, theta[-5:-1].reshape(2, 2), float(theta[-1]), prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = 1200, clean_docs: int = 3600, max_chars: int = 20_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = 1200, clean_docs: int = 3600, max_chars: int = 20_000_000, field_docs: int = 400) -> Model:
     """A model of at most ``toxic_docs`` and ``clean_docs`` labelled documents, a documented bound.
 
     usable: a condition on id_col in labels. The documents are those with the least digests of their
-    ids; of their texts, in that order, whole ones up to ``max_chars`` characters are learned from.
-    Labels that are null or neither 0 nor 1 take no part.
+    ids, then of their texts; in that order, whole texts up to ``max_chars`` characters are learned
+    from, and no more than those leave the tables. Marker words are learned from all of them, the
+    field's weights from the first ``field_docs`` of each class. Labels that are null or neither 0 nor
+    1 take no part, nor do ids with both labels; of rows that repeat one is learned from.
     """
-    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(usable)
+    rows = agreed(labels, usable, id_col, label_col)
     ones, n = rows.agg(F.sum("label"), F.count("*")).first()
     order = F.md5(F.col("_id").cast("string").cast("binary"))
     chosen = [r for y, most in ((1, toxic_docs), (0, clean_docs)) for r in rows.where(F.col("label") == y).orderBy(order, "_id").limit(most).collect()]
     if not chosen:
         return train([])
-    picked = docs.sparkSession.createDataFrame(chosen, rows.schema).dropDuplicates(["_id"])
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("label", F.col("_text").alias("text"), order.alias("o"))
-    order_known = sorted(((r["o"], r["text"] or "", bool(r["label"])) for r in found.limit(2 * (toxic_docs + clean_docs)).toLocalIterator()), key=lambda r: r[:2])
-
-    def learned() -> Iterator[tuple[list[str], bool]]:
-        size = 0
-        for _, text, y in order_known:
-            if size + len(text) <= max_chars:
-                size += len(text)
-                yield tokens(text), y
-
-    return train(learned(), prior=ones / n)
+    picked = docs.sparkSession.createDataFrame(chosen, rows.schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(picked), "_id").select("label", order.alias("o"), F.xxhash64("_text").alias("h"), F.length("_text").cast("long").alias("n"), F.col("_text").alias("text"))
+    found = checkpointed(found)
+    # An id may have any number of rows: they are made one a text, and cut to the bounds before any text leaves.
+    first = Window.partitionBy("label").orderBy("o", "h")
+    ranked = found.groupBy("label", "o", "h", "n").agg(F.count("*").alias("copies")).withColumn("k", F.row_number().over(first))
+    size, fits = 0, []
+    for r in ranked.where(F.col("k") <= F.when(F.col("label") == 1, toxic_docs).otherwise(clean_docs)).orderBy("o", "h", "label").collect():
+        if size + r["n"] <= max_chars:
+            size += r["n"]
+            fits.append((r["label"], r["o"], r["h"]))
+    if not fits:
+        return train([])
+    keys = docs.sparkSession.createDataFrame(fits, "label int, o string, h long")
+    texts = found.join(F.broadcast(keys), ["label", "o", "h"]).groupBy("label", "o", "h").agg(F.min("text").alias("text"))
+    known = sorted((r["o"], r["h"], bool(r["label"]), r["text"]) for r in texts.collect())
+    return train(((tokens(t), y) for _, _, y, t in known), field_docs, prior=ones / n)
 
 
 def spans_of(text: str, p: np.ndarray, threshold: float) -> list[dict]:
     """Offsets of runs of tokens whose marginal reaches the threshold; code points, end exclusive."""
     out: list[dict] = []
-    at = [m.span() for m in TOKEN.finditer(text.lower())] if len(text.lower()) == len(text) else [m.span() for m in TOKEN.finditer(text)]
+    at = [m.span() for m in TOKEN.finditer(_lowered(text))]
     last = -2
     for i in np.flatnonzero(p >= threshold).tolist():
-        if i >= len(at):
-            break
         if i == last + 1:
             out[-1]["end"], out[-1]["p"] = at[i][1], max(out[-1]["p"], float(p[i]))
         else:
