@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what nothing names any more.
+
+    It finds them when the driver collects its garbage, which a driver of small plans seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that df does not have, whatever the case."""
     have = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -22,10 +22,16 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def windows(item: list[bytes], length: int) -> list[tuple[bytes, ...]]:
+    """All runs of ``length`` words; a shorter item that is not empty is one window."""
+    return [tuple(item[i : i + length]) for i in range(len(item) - length + 1)] or ([tuple(item)] if item else [])
+
+
 class Matcher:
     """Shift tables and suffix-hash buckets for the windows of some items, one pair for each window length.
 
-    Item words are numbered, and an item is kept once, as its numbers laid end to end with those of
+    patterns: (words, name) of each item, whose windows have ``length`` words, or all of a shorter
+    item's; without a length each item is one window. Item words are numbered, and an item is kept once, as its numbers laid end to end with those of
     the others; a window is where it ends. A window of m words is looked at through its blocks of up to
     two words. The table of a length has for a block how far the search may move when the text ends in
     it, as a negative number: the distance of the block's last occurrence in any window from the
@@ -33,16 +39,16 @@ class Matcher:
     whose windows end in that block and are compared word for word.
     """
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], length: int):
+    def __init__(self, patterns: Iterable[tuple[Sequence[bytes], str]], length: int | None = None):
         self.ids: dict[bytes, int] = {}
         self.flat: array = array("i")
         self.owner: array = array("i")  # of each position
         self.names: list[str] = []
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)  # first and last end of windows, by their length
-        for name, text in items:
-            w = [self.ids.setdefault(x, len(self.ids)) for x in words(text)]
+        for item, name in patterns:
+            w = [self.ids.setdefault(x, len(self.ids)) for x in item]
             if w:
-                at, m = len(self.flat), min(length, len(w))
+                at, m = len(self.flat), min(length or len(w), len(w))
                 spans[m].append((at + m, at + len(w)))
                 self.flat.extend(w)
                 self.owner.extend([len(self.names)] * len(w))
@@ -128,7 +134,7 @@ def _scan(items: Broadcast, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = items.value
         if "matcher" not in held:
-            held["matcher"] = Matcher(zip(held["names"], held["texts"], strict=True), length)
+            held["matcher"] = Matcher(((words(t), name) for name, t in zip(held["names"], held["texts"], strict=True)), length)
         matcher = held["matcher"]
         for batch in batches:
             n_words, spans, met_items = [], [], []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlode.llm.common import checkpointed
+from runlode.llm.common import checkpointed, sweep
 
 
 def _state(edges: DataFrame):
@@ -23,9 +23,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     u, v = edges.columns
     now = checkpointed(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
     state = _state(now)
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         if not state[0]:
             break
+        if k % 2:  # a round leaves five shuffles behind
+            both = least = large = low = hung = nxt = None
+            sweep(now.sparkSession)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

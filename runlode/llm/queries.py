@@ -86,7 +86,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
     held = (remainder(F.col("doc_id"), 7) == 2).alias("held_out")
-    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
