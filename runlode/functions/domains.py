@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlode.lineage import checkpointed
+
 OUTCOME = "outcome string, artifacts array<struct<name:string,bytes:binary>>, stats array<struct<name:string,value:double>>, reason string"
 
 
@@ -97,12 +99,13 @@ def generated(spark: SparkSession, name: str, root_seed: int, params: bytes) ->
 def evaluate(tasks: DataFrame, name: str, max_attempts: int = 3) -> DataFrame:
     """Tasks (i, spec, params, seed, input_state) with their final outcome and attempts.
 
-    Failed attempts are tried again while attempts remain; each round runs only what failed.
+    Failed attempts are tried again while attempts remain; each round runs only what failed, once,
+    since its outcomes are written before they are read.
     """
     run = executor(name)
     left, done = tasks, None
     for attempt in range(max_attempts):
-        tried = left.withColumn("_r", run("spec", "params", "seed", F.lit(attempt), "input_state"))
+        tried = checkpointed(left.withColumn("_r", run("spec", "params", "seed", F.lit(attempt), "input_state")))
         final = tried if attempt + 1 == max_attempts else tried.where("_r.outcome <> 'failed'")
         rows = final.select("i", F.lit(attempt + 1).alias("attempts"), "_r.*")
         done = rows if done is None else done.unionByName(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = "18446744073709551615"
@@ -47,21 +47,52 @@ def finite_sign_positive(x: Column) -> Column:
     return finite(x) & ~(F.signum(x) < 0) & ((x != 0) | (F.hex(F.to_binary(F.format_string("%.1f", x), F.lit("utf-8"))) == "302E30"))
 
 
+def _is(x: Column, pattern: str) -> Column:
+    """Whether the whole text matches; a line feed at its end is part of it."""
+    return F.coalesce(x.rlike(rf"\A(?:{pattern})\z"), F.lit(False))
+
+
 def valid_name(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"^[a-z0-9._-]{1,64}$"), F.lit(False))
+    return _is(x, "[a-z0-9._-]{1,64}")
 
 
 def valid_tag(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"^[a-z0-9-]+$"), F.lit(False))
+    return _is(x, "[a-z0-9-]+")
+
+
+def valid_class(x: Column) -> Column:
+    """Whether x can name a class of devices."""
+    return _is(x, "[a-z0-9._:-]{1,64}")
 
 
 def valid_owner(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"^[0-9a-fA-F]{64}$"), F.lit(False))
+    return _is(x, "[0-9a-fA-F]{64}")
+
+
+def valid_key(x: Column) -> Column:
+    """Whether x is a digest in lower-case hex."""
+    return _is(x, "[0-9a-f]{64}")
+
+
+def attempt_tag(owner: Column, process: Column, nonce: Column, number: Column, prefix: str = "runlode") -> Column:
+    """What a rental is labelled with: 16 digits of its owner, and what makes it unlike all others."""
+    return F.concat_ws("-", F.lit(prefix), F.substring(owner, 1, 16), process.cast("string"), nonce.cast("string"), number.cast("string"))
+
+
+def stats_or_error(stats: Column, error: Column, invalid: Column, predicate: bool) -> Column:
+    """Statistics of a reduction that may have failed.
+
+    A failed validation is always an error; another failure is one only where a predicate waits for
+    the statistics, and gives none otherwise.
+    """
+    fatal = error.isNotNull() & (invalid | F.lit(predicate))
+    none = F.array().cast("array<struct<name:string,value:double>>")
+    return F.when(fatal, F.raise_error(error).cast("array<struct<name:string,value:double>>")).when(error.isNotNull(), none).otherwise(stats)
 
 
 def hex_decode(x: Column) -> Column:
     """Strict: lower case and an even number of digits, else null."""
-    return F.when(x.rlike(r"^(?:[0-9a-f]{2})*$"), F.unhex(x))
+    return F.when(_is(x, "(?:[0-9a-f]{2})*"), F.unhex(x))
 
 
 def hex_encode(x: Column) -> Column:
@@ -100,10 +131,22 @@ def duration(ms: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    """A double in shortest plain form: 5, 0.5, 0.0001, NaN."""
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,17)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """A double in shortest plain form: 5, 0.5, 0.0001, NaN, inf; no exponents, whatever the size."""
     shown = x.cast("string")
-    return F.when(F.isnan(x), "NaN").when(shown.contains("E"), plain).otherwise(F.regexp_replace(shown, r"\.0$", ""))
+    sign = F.when(shown.startswith("-"), "-").otherwise("")
+    part = lambda k: F.regexp_extract(shown, r"([0-9]+)\.([0-9]+)E(-?[0-9]+)", k)
+    digits = F.concat(part(1), F.regexp_replace(part(2), "0+$", ""))
+    exponent = F.when(shown.contains("E"), part(3).cast("int")).otherwise(0)
+    n = F.length(digits)
+    whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, "0")
+    large = F.concat(whole, F.when(n > exponent + 1, F.concat(F.lit("."), F.substring(digits, exponent + 2, n))).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    return (
+        F.when(F.isnan(x), "NaN")
+        .when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(shown.contains("E"), F.concat(sign, F.when(exponent >= 0, large).otherwise(small)))
+        .otherwise(F.regexp_replace(shown, r"\.0$", ""))
+    )
 
 
 def render_stats(stats: Column, blob_hex: Column) -> Column:
@@ -113,7 +156,7 @@ def render_stats(stats: Column, blob_hex: Column) -> Column:
     return F.concat_ws(" ", F.when(pairs != "", pairs), blob)
 
 
-# The counter stream: 64-bit words held as signed longs. Spark's checked arithmetic must not see an
+# The counter stream, a published generator whose constants are fixed: 64-bit words held as signed longs. Spark's checked arithmetic must not see an
 # overflow, so words are multiplied and added in pieces that stay inside 63 bits.
 
 
@@ -173,6 +216,39 @@ def derive(seed: Column, tag: Column) -> Column:
     return mix64(seed.bitwiseXOR(mix64(tag.cast("long"))))
 
 
+def with_draws(df: DataFrame, root: int, tag: str, counter: str, out: str) -> DataFrame:
+    """df with ``out``: the word at ``counter`` of the stream of derive(root, tag), in generated code.
+
+    Each step is a projection of its own, so that no value that a later step names twice is computed
+    twice and none needs a function value, which ends generated code.
+    """
+    mask = F.lit(0xFFFFFFFF)
+
+    def times(d: DataFrame, constant: int) -> DataFrame:
+        """_z becomes its product with the constant modulo 2^64, as mul64 has it."""
+        c = [constant >> 16 * k & 0xFFFF for k in range(4)]
+        d = d.withColumns({"_l": F.col("_z").bitwiseAND(mask), "_h": F.shiftrightunsigned("_z", 32)})
+        low, high = F.col("_l"), F.col("_h")
+        d = d.withColumns({"_p": low * c[0]}).withColumn("_m", low * c[1] + F.shiftrightunsigned("_p", 16))
+        up = F.shiftrightunsigned("_m", 16) + low * c[2] + F.shiftleft((low * c[3]).bitwiseAND(F.lit(0xFFFF)), 16) + high * c[0] + F.shiftleft((high * c[1]).bitwiseAND(F.lit(0xFFFF)), 16)
+        down = F.shiftleft("_m", 16).bitwiseAND(mask).bitwiseOR(F.col("_p").bitwiseAND(F.lit(0xFFFF)))
+        return d.withColumn("_z", F.shiftleft(up.bitwiseAND(mask), 32).bitwiseOR(down))
+
+    def folded(d: DataFrame, by: int) -> DataFrame:
+        return d.withColumn("_z", F.col("_z").bitwiseXOR(F.shiftrightunsigned("_z", by)))
+
+    def mixed(d: DataFrame) -> DataFrame:
+        return folded(times(folded(times(folded(d, 30), 0xBF58476D1CE4E5B9), 27), 0x94D049BB133111EB), 31)
+
+    d = mixed(df.withColumn("_z", F.col(tag).cast("long")))
+    d = mixed(d.withColumn("_z", F.col("_z").bitwiseXOR(F.lit(_word(root))))).withColumnRenamed("_z", "_s")
+    d = times(d.withColumn("_z", F.col(counter).cast("long") + 1), 0x9E3779B97F4A7C15)
+    low = F.col("_s").bitwiseAND(mask) + F.col("_z").bitwiseAND(mask)
+    d = d.withColumn("_l", low).withColumn("_h", F.shiftrightunsigned("_s", 32) + F.shiftrightunsigned("_z", 32) + F.shiftrightunsigned("_l", 32))
+    d = mixed(d.withColumn("_z", F.shiftleft(F.col("_h").bitwiseAND(mask), 32).bitwiseOR(F.col("_l").bitwiseAND(mask))))
+    return d.select(*df.columns, F.col("_z").alias(out))
+
+
 def unit_f64(word: Column) -> Column:
     return F.shiftrightunsigned(word, 11).cast("double") * F.lit(2.0**-53)
 

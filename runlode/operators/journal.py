@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlode.functions.scalars import valid_key
+
 #: Events that concern one task. A diagnostic may name a task and is still not one of them.
 LIFECYCLE = ("queued", "leased", "committed", "failed", "retried", "rejected", "faulted", "lease_expired", "checkpoint_degraded", "checkpointed")
 TERMINAL = ("committed", "failed", "rejected", "faulted")
@@ -214,8 +216,8 @@ def running_commits(journal: DataFrame, block: int = 100_000) -> DataFrame:
 
 
 def journaled_keys(journal: DataFrame) -> DataFrame:
-    """Distinct lifecycle tasks of each search, sorted."""
-    return journal.where(_is(*LIFECYCLE)).select("search_id", "task").distinct().orderBy("search_id", "task")
+    """Distinct lifecycle tasks of each search, sorted; a task that is no key in hex is skipped."""
+    return journal.where(_is(*LIFECYCLE) & valid_key(F.col("task"))).select("search_id", "task").distinct().orderBy("search_id", "task")
 
 
 def driver_changes(journal: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
@@ -252,11 +254,23 @@ def chart_buckets(bounds: DataFrame, columns: int = 48) -> DataFrame:
     return bounds.select("search_id", "start_ms", "end_ms", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column")).select("search_id", "column", edge("column").alias("from_ms"), edge("column + 1").alias("to_ms"))
 
 
+def chart_column(stamp: Column, columns: int = 48) -> Column:
+    """The last column whose first edge is at the stamp or before it, or the first, by arithmetic on its session.
+
+    An edge start + span * c div n is at most start + d exactly if c n-ths of the span are below d + 1.
+    """
+    span = F.greatest(F.lit(0).cast("long"), F.col("end_ms") - F.col("start_ms"))
+    late = F.greatest(F.lit(0).cast("long"), stamp - F.col("start_ms") + 1) * columns
+    at = F.when(span > 0, F.floor((late + span - 1) / span) - 1).when(stamp >= F.col("start_ms"), columns - 1).otherwise(0)
+    return F.least(F.lit(columns - 1), F.greatest(F.lit(0), at)).cast("int")
+
+
 def commit_sparkline(journal: DataFrame, columns: int = 48) -> DataFrame:
     """(search_id, column, commits, level): commits per chart column, scaled to eight levels."""
-    buckets = chart_buckets(session_bounds(journal), columns)
-    commits = latest_session(journal).where(_is("committed")).select("search_id", "seq", "ts_ms")
-    placed = commits.join(F.broadcast(buckets), "search_id").where("ts_ms >= from_ms or column = 0").groupBy("search_id", "seq").agg(F.max("column").alias("column"))
+    bounds = session_bounds(journal)
+    buckets = chart_buckets(bounds, columns)
+    commits = latest_session(journal).where(_is("committed")).select("search_id", "ts_ms")
+    placed = commits.join(bounds.select("search_id", "start_ms", "end_ms"), "search_id").withColumn("column", chart_column(F.col("ts_ms"), columns))
     counted = buckets.join(placed.groupBy("search_id", "column").agg(F.count("*").alias("commits")), ["search_id", "column"], "left").fillna(0, ["commits"])
     busiest = F.max("commits").over(Window.partitionBy("search_id"))
     return counted.select("search_id", "column", "commits", F.when(F.col("commits") > 0, F.ceil(F.col("commits") * 8 / busiest)).otherwise(0).cast("long").alias("level"))
@@ -264,16 +278,60 @@ def commit_sparkline(journal: DataFrame, columns: int = 48) -> DataFrame:
 
 def occupancy_buckets(journal: DataFrame, columns: int = 48) -> DataFrame:
     """(search_id, worker, column, busy_ms, glyph): blank before the worker's bind, full from half busy on."""
-    buckets = chart_buckets(session_bounds(journal), columns)
+    bounds = session_bounds(journal)
+    buckets = chart_buckets(bounds, columns)
     workers = worker_metrics(journal).select("search_id", "worker", "first_bind_ms")
     cells = workers.join(buckets, "search_id")
-    spans = lease_spans(journal).select("search_id", "worker", "start_ms", "end_ms")
-    met = spans.join(buckets, "search_id").where("start_ms < to_ms and end_ms > from_ms").groupBy("search_id", "worker", "column").agg(F.sum(F.least("end_ms", "to_ms") - F.greatest("start_ms", "from_ms")).alias("busy_ms"))
+    spans = lease_spans(journal).where("end_ms > start_ms").select("search_id", "worker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    # A span becomes the columns that it reaches over, and no others.
+    reach = F.sequence(chart_column(F.col("s"), columns), chart_column(F.col("e") - 1, columns))
+    cut = spans.join(bounds.select("search_id", "start_ms", "end_ms"), "search_id").select("search_id", "worker", "s", "e", F.explode(reach).alias("column"))
+    edges = buckets.select("search_id", "column", "from_ms", "to_ms")
+    met = cut.join(edges, ["search_id", "column"]).select("search_id", "worker", "column", "from_ms", "to_ms", F.col("s").alias("start_ms"), F.col("e").alias("end_ms")).where("start_ms < to_ms and end_ms > from_ms").groupBy("search_id", "worker", "column").agg(F.sum(F.least("end_ms", "to_ms") - F.greatest("start_ms", "from_ms")).alias("busy_ms"))
     drawn = F.when(F.col("to_ms") <= F.col("first_bind_ms"), "blank").when((F.col("to_ms") > F.col("from_ms")) & (F.col("busy_ms") * 2 >= F.col("to_ms") - F.col("from_ms")), "full").otherwise("light")
     return cells.join(met, ["search_id", "worker", "column"], "left").fillna(0, ["busy_ms"]).select("search_id", "worker", "column", "busy_ms", drawn.alias("glyph"))
 
 
 def search_summaries(registry: DataFrame, journal: DataFrame) -> DataFrame:
-    """A row for each registered search; one without a log is in progress with zeros."""
+    """A row for each registered search, by id; one without a log is in progress with zeros."""
     known = registry.select("search_id").join(status_counts(journal), "search_id", "left")
     return known.fillna(0, ["tasks", "committed", "rejected", "faulted"]).fillna("in_progress", ["state"]).select("search_id", "tasks", "committed", "rejected", "faulted", "state").orderBy("search_id")
+
+
+def search_prefix(registry: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix, resolution, search_id): the one registered search that starts with each prefix, or how it fails.
+
+    The empty prefix addresses nothing. An ambiguous one names all that it matches, in order; the
+    prefixes are the stated query set.
+    """
+    asked, known = prefixes.select("prefix").distinct(), registry.select("search_id").distinct()
+    hits = asked.join(known, (asked["prefix"] != "") & known["search_id"].startswith(asked["prefix"]), "left").groupBy("prefix").agg(F.count("search_id").alias("n"), F.array_sort(F.collect_list("search_id")).alias("ids"))
+    told = F.when(F.col("prefix") == "", "empty prefix").when(F.col("n") == 1, "found").when(F.col("n") == 0, "no search").otherwise(F.concat(F.lit("ambiguous: "), F.array_join("ids", ", ")))
+    return hits.select("prefix", told.alias("resolution"), F.when(F.col("n") == 1, F.col("ids")[0]).alias("search_id"))
+
+
+class NoStore(ValueError):
+    """The store does not exist, so no search was ever run there."""
+
+
+class NeverStarted(ValueError):
+    """The store is there and the search never wrote an event."""
+
+
+def log_of(journal: DataFrame | None, search_id: str) -> DataFrame:
+    """The log of one search. journal: all logs, None if there is no store; each absence is its own error."""
+    if journal is None:
+        raise NoStore("the store does not exist")
+    own = journal.where(F.col("search_id") == search_id)
+    if own.isEmpty():
+        raise NeverStarted(f"search {search_id} was never started in this store")
+    return own
+
+
+def seeded_status(journal: DataFrame | None, search_ids: DataFrame) -> DataFrame:
+    """Status counts of the searches, zeros and in progress where there is no log or no store."""
+    if journal is None:
+        journal = search_ids.select("search_id").limit(0).selectExpr("search_id", "0L seq", "'' event", "'' task", "'' reason", "0L tasks")
+    counts = ["tasks", "committed", "retried", "rejected", "faulted", "lease_expired", "checkpoint_degraded", "rebound_chains"]
+    known = search_ids.select("search_id").distinct().join(status_counts(journal), "search_id", "left")
+    return known.fillna(0, counts).fillna("in_progress", ["state"])

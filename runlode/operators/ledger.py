@@ -83,11 +83,18 @@ class Constraints:
         return F.coalesce(out, F.lit(False))
 
 
-def select_offers(offers: DataFrame, constraints: Constraints, excluded: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Qualifying offers, cheapest first, ties by id. excluded: machines by name; '' never matches."""
+def select_offers(offers: DataFrame, constraints: Constraints, excluded: DataFrame | None = None, limit: int | None = None, provider: str | None = None) -> DataFrame:
+    """Qualifying offers of one provider, cheapest first, ties by id.
+
+    excluded: machines left out, by name, or with a provider (provider, machine): what is struck at
+    another provider is not left out at this one. '' never matches.
+    """
     found = offers.where(constraints.column())
     if excluded is not None:
-        found = found.join(excluded.where("machine <> ''").select("machine").distinct(), "machine", "left_anti")
+        if provider is None and "provider" in excluded.columns:
+            raise ValueError("machines are excluded at one provider")
+        here = excluded if provider is None else excluded.where(F.col("provider") == provider)
+        found = found.join(here.where("machine <> ''").select("machine").distinct(), "machine", "left_anti")
     ranked = found.orderBy("price", "id")
     return ranked.limit(limit) if limit is not None else ranked
 
@@ -120,6 +127,17 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str) ->
     return rows.withColumn("_n", F.row_number().over(late)).where("_n = 1").drop("_n", "_gen")
 
 
+def remove(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The table without the rows of these keys; a key that it lacks is no error."""
+    return table.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def close_out(spend: DataFrame, closed: DataFrame) -> DataFrame:
+    """The spend ledger with rentals closed; a rental, known by tag and start, is closed once, the first time."""
+    new = closed.dropDuplicates(["tag", "started_ms"]).join(spend.select("tag", "started_ms"), ["tag", "started_ms"], "left_anti")
+    return spend.unionByName(new.select(*spend.columns))
+
+
 def usable_devices(devices: DataFrame, group: str) -> DataFrame:
     """Without the processors where a group has any other device."""
     other = F.max((F.col("device_type") != "cpu").cast("int")).over(Window.partitionBy(group))
@@ -131,8 +149,12 @@ def device_members(devices: DataFrame, group: str) -> DataFrame:
     return devices.withColumn("member", (F.row_number().over(Window.partitionBy(group, "class").orderBy("idx")) - 1).cast("int"))
 
 
-def default_device(devices: DataFrame, group: str) -> DataFrame:
-    """(group, idx): the first device of the best type."""
+def default_device(devices: DataFrame, group: str, index: int | None = None) -> DataFrame:
+    """(group, idx): the first device of the best type, or the one asked for; a group that lacks it is an error."""
+    if index is not None:
+        asked = devices.groupBy(group).agg(F.max((F.col("idx") == index).cast("int")).alias("_there"))
+        there = F.assert_true(F.col("_there") == 1, F.lit(f"no device {index}"))
+        return asked.where(there.isNull()).select(group, F.lit(index).alias("idx"))
     rank = F.array_position(F.array(*map(F.lit, ("discrete", "integrated", "virtual", "cpu", "other"))), F.col("device_type"))
     return devices.groupBy(group).agg(F.min_by("idx", F.struct(rank, F.col("idx"))).alias("idx"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlode.lineage import checkpointed
+
 PACK_CAP = 1 << 30
 INVENTORY_FRAME = 4096
 
@@ -19,7 +24,7 @@ def closure(manifests: DataFrame, references: DataFrame) -> DataFrame:
 def live_objects(searches: DataFrame, manifests: DataFrame, references: DataFrame) -> DataFrame:
     """What the finalized searches hold."""
     kept = manifests.join(searches.where("finalized").select("search_id"), "search_id", "left_semi")
-    return closure(kept, references).select("object").distinct()
+    return kept.select(F.col("record_hash").alias("object")).unionByName(references.join(kept, "record_hash", "left_semi").select("object")).distinct()
 
 
 def gc_doomed(held: DataFrame, live: DataFrame) -> DataFrame:
@@ -44,7 +49,8 @@ def removal_plan(search_id, searches: DataFrame, manifests: DataFrame, reference
 
 def removal_objects(search_id, manifests: DataFrame, references: DataFrame) -> DataFrame:
     own = closure(manifests.where(F.col("search_id") == search_id), references).select("object")
-    rest = closure(manifests.where(F.col("search_id") != search_id), references).select("object").distinct()
+    others = manifests.where(F.col("search_id") != search_id)
+    rest = others.select(F.col("record_hash").alias("object")).unionByName(references.join(others, "record_hash", "left_semi").select("object"))
     return own.join(rest, "object", "left_anti")
 
 
@@ -103,24 +109,33 @@ def loose_split(loose: DataFrame, packed: DataFrame) -> DataFrame:
     return loose.join(p, "hash", "left").fillna(False, ["duplicate"])
 
 
-def pack_groups(objects: DataFrame, cap: int = PACK_CAP, shards: int = 16) -> DataFrame:
+def pack_groups(objects: DataFrame, cap: int = PACK_CAP, digits: int = 1) -> DataFrame:
     """(shard, pack, objects, bytes): greedy groups in hash order under a cap.
 
-    Packs are cut within a shard, the first hex digit, so no more than a sixteenth of the store
-    meets in a task; an object larger than the cap stands alone. The sum restarts with each pack, so
-    the running cut is a fold over the ordered sizes.
+    Packs are cut within a shard, the first ``digits`` hex digits, of which a store of any size takes
+    as many as it needs; an object larger than the cap stands alone. The sum restarts with each pack,
+    so a shard's sizes are folded in order, and the fold carries three numbers.
     """
-    shard = F.conv(F.substring("hash", 1, 1), 16, 10).cast("int") % shards
-    ordered = objects.select(shard.alias("shard"), F.struct("hash", "size").alias("o")).groupBy("shard").agg(F.array_sort(F.collect_list("o")).alias("os"))
-    begin = F.struct(F.lit(-1).alias("pack"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, o):
-        fresh = (acc["pack"] < 0) | (acc["bytes"] + o["size"] > cap)
-        pack = F.when(fresh, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(pack.alias("pack"), F.when(fresh, o["size"]).otherwise(acc["bytes"] + o["size"]).cast("long").alias("bytes"), F.concat(acc["out"], F.array(pack)).alias("out"))
-
-    placed = ordered.select("shard", F.explode(F.arrays_zip(F.col("os"), F.aggregate("os", begin, step)["out"].alias("pack"))).alias("x")).select("shard", F.col("x.pack").alias("pack"), F.col("x.os.size").alias("size"))
-    return placed.groupBy("shard", "pack").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
+    shards = 16**digits
+    shard = F.conv(F.substring("hash", 1, digits), 16, 10).cast("int")
+    dealt = objects.select(shard.alias("shard"), "hash", F.col("size").cast("long").alias("size")).repartition(shards, "shard").sortWithinPartitions("shard", "hash").select("shard", "size")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[int, int, int, int]] = []
+        now, pack, n, total = None, 0, 0, 0
+        for batch in batches:
+            for own, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != now or total + size > cap:
+                    if n:
+                        done.append((now, pack, n, total))
+                    pack = pack + 1 if own == now else 0
+                    now, n, total = own, 0, 0
+                n, total = n + 1, total + size
+        if n:
+            done.append((now, pack, n, total))
+        yield pa.RecordBatch.from_pylist([dict(zip(("shard", "pack", "objects", "bytes"), r, strict=True)) for r in done], schema=pa.schema([("shard", pa.int32()), ("pack", pa.int32()), ("objects", pa.int64()), ("bytes", pa.int64())]))
+
+    return dealt.mapInArrow(fold, "shard int, pack int, objects long, bytes long")
 
 
 def manifest_json(manifests: DataFrame) -> DataFrame:
@@ -144,10 +159,19 @@ def ascending_faults(rows: DataFrame, group: str, name: str, order: str) -> Data
     return rows.withColumn("before", before).where(F.col("before") >= F.col(name))
 
 
-def frames(inventory: DataFrame, group: str, key: str, size: int = INVENTORY_FRAME) -> DataFrame:
-    """(group, frame, entries, first, last): an ordered inventory in frames of a bounded number."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    return inventory.withColumn("frame", F.floor(n / size)).groupBy(group, "frame").agg(F.count("*").alias("entries"), F.min(key).alias("first"), F.max(key).alias("last"))
+def frames(inventory: DataFrame, group: str, key: str, size: int = INVENTORY_FRAME, ranges: int = 64) -> DataFrame:
+    """(group, frame, entries, first, last): an ordered inventory in frames of a bounded number.
+
+    Rows are numbered within ranges of (group, key), from the counts of the ranges before.
+    """
+    ranged = inventory.select(group, key).repartitionByRange(ranges, group, key)
+    rows = checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(key)) - 1
+    numbered = rows.withColumn("_own", own).join(starts, [group, "_range"])
+    return numbered.withColumn("frame", F.floor((F.col("_start") + F.col("_own")) / size)).groupBy(group, "frame").agg(F.count("*").alias("entries"), F.min(key).alias("first"), F.max(key).alias("last"))
 
 
 def insertion_distinct(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -157,13 +181,11 @@ def insertion_distinct(rows: DataFrame, key: str, order: str) -> DataFrame:
 def chain_walk(spark, starts: DataFrame, links: DataFrame, segments: int) -> DataFrame:
     """(chain, segment, state): follows each chain's state from link to link, ``segments`` times at most.
 
-    A recursive query; a fixed point repeats its state and still counts its hops.
+    One join a segment, all chains at once; a fixed point repeats its state and still counts its hops.
     """
-    starts.createOrReplaceTempView("runlode_chain_starts")
-    links.createOrReplaceTempView("runlode_chain_links")
-    return spark.sql(f"""
-        WITH RECURSIVE walk AS (
-          SELECT chain, 0 AS segment, state FROM runlode_chain_starts
-          UNION ALL
-          SELECT w.chain, w.segment + 1, l.next_state FROM walk w JOIN runlode_chain_links l ON w.state = l.state WHERE w.segment + 1 < {int(segments)}
-        ) SELECT chain, segment, state FROM walk""")
+    now = starts.select("chain", F.lit(0).alias("segment"), "state")
+    walked = now
+    for k in range(1, segments):
+        now = checkpointed(now.join(links.select("state", "next_state"), "state").select("chain", F.lit(k).alias("segment"), F.col("next_state").alias("state")))
+        walked = walked.unionByName(now)
+    return walked

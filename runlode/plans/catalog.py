@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlode.functions import scalars as fn
-from runlode.operators import generate, journal, ledger, placement, simulate, store
+from runlode.operators import generate, journal, ledger, objects, placement, simulate, store
 from runlode.plans import render
 from runlode.plans import views as v
+from runlode.streaming import feed, supervise
 from runlode.streaming import status as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,11 +54,19 @@ _BUCKETS = """
 buckets AS (SELECT search_id, c AS "column", start_ms + greatest(0, end_ms - start_ms) * c // 48 AS from_ms, start_ms + greatest(0, end_ms - start_ms) * (c + 1) // 48 AS to_ms FROM bounds, range(48) t(c))"""
 
 
+_LEVEL = "('search_started', 'search_finalized', 'search_failed', 'search_interrupted')"
+_LIFECYCLE = "('queued', 'leased', 'committed', 'failed', 'retried', 'rejected', 'faulted', 'lease_expired', 'checkpoint_degraded', 'checkpointed')"
+_STATE = f"""
+level AS (SELECT * FROM (SELECT search_id, event, task, reason, row_number() OVER (PARTITION BY search_id ORDER BY seq DESC) AS n FROM journal WHERE event IN {_LEVEL}) WHERE n = 1),
+state AS (SELECT s.search_id, CASE event WHEN 'search_finalized' THEN 'finalized' WHEN 'search_failed' THEN 'failed' WHEN 'search_interrupted' THEN 'interrupted' ELSE 'in_progress' END AS state,
+  CASE WHEN event = 'search_failed' THEN task END AS failed_task, CASE WHEN event = 'search_failed' THEN reason END AS failed_reason FROM (SELECT DISTINCT search_id FROM journal) s LEFT JOIN level USING (search_id))"""
+
+
 @_query(
-    """
+    f""", {_STATE}
 SELECT search_id, CAST(coalesce(arg_max(tasks, seq) FILTER (event = 'search_started'), 0) AS BIGINT) AS tasks, count(*) FILTER (event = 'committed') AS committed, count(*) FILTER (event = 'retried') AS retried, count(*) FILTER (event = 'rejected') AS rejected,
   count(*) FILTER (event = 'faulted') AS faulted, count(*) FILTER (event = 'lease_expired') AS lease_expired, count(*) FILTER (event = 'checkpoint_degraded') AS checkpoint_degraded, count(*) FILTER (event = 'chain_rebound') AS rebound_chains,
-  'in_progress' AS state, CAST(NULL AS VARCHAR) AS failed_task, CAST(NULL AS VARCHAR) AS failed_reason FROM journal GROUP BY 1""",
+  any_value(state.state) AS state, any_value(failed_task) AS failed_task, any_value(failed_reason) AS failed_reason FROM journal JOIN state USING (search_id) GROUP BY 1""",
     v.JOURNAL,
 )
 def status_counts(spark, d):
@@ -65,11 +74,11 @@ def status_counts(spark, d):
 
 
 @_query(
-    """, f AS (
+    f""", f AS (
   SELECT *, max(CASE WHEN event = 'leased' THEN seq END) OVER (PARTITION BY search_id, task ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tl,
     arg_max(worker, CASE WHEN event = 'leased' THEN seq END) OVER (PARTITION BY search_id, task ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wk,
     max(CASE WHEN event IN ('committed', 'failed', 'rejected', 'faulted') THEN seq END) OVER (PARTITION BY search_id, task ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lt,
-    max(CASE WHEN event = 'search_started' THEN seq END) OVER (PARTITION BY search_id ORDER BY seq) AS rs FROM journal
+    max(CASE WHEN event IN {_LEVEL} THEN seq END) OVER (PARTITION BY search_id ORDER BY seq) AS rs FROM journal
 ), g AS (
   SELECT f.search_id, f.seq, f.tl, f.lt, f.rs, (SELECT max(x.seq) FROM journal x WHERE x.event = 'leased' AND x.search_id = f.search_id AND x.worker = f.wk AND x.seq < f.seq) AS wl,
     (SELECT max(x.seq) FROM journal x WHERE x.event = 'worker_bound' AND x.search_id = f.search_id AND x.worker = f.wk AND x.seq < f.seq) AS wb FROM f WHERE event = 'committed' AND tl IS NOT NULL
@@ -83,8 +92,8 @@ def status_composition(spark, d):
 
 
 @_query(
-    """, l AS (SELECT search_id, worker, max(seq) AS wl, arg_max(task, seq) AS task, arg_max(attempt, seq) AS attempt FROM journal WHERE event = 'leased' GROUP BY 1, 2),
-t AS (SELECT search_id, task, max(seq) AS te FROM journal WHERE event IN ('committed', 'failed', 'rejected', 'faulted') GROUP BY 1, 2), r AS (SELECT search_id, max(seq) AS rs FROM journal WHERE event = 'search_started' GROUP BY 1)
+    f""", l AS (SELECT search_id, worker, max(seq) AS wl, arg_max(task, seq) AS task, arg_max(attempt, seq) AS attempt FROM journal WHERE event = 'leased' GROUP BY 1, 2),
+t AS (SELECT search_id, task, max(seq) AS te FROM journal WHERE event IN ('committed', 'failed', 'rejected', 'faulted') GROUP BY 1, 2), r AS (SELECT search_id, max(seq) AS rs FROM journal WHERE event IN {_LEVEL} GROUP BY 1)
 SELECT l.search_id, l.worker, l.task, l.attempt FROM l LEFT JOIN t USING (search_id, task) LEFT JOIN r USING (search_id) WHERE wl > coalesce(te, -1) AND wl > coalesce(rs, -1)""",
     v.JOURNAL,
 )
@@ -98,18 +107,30 @@ def status_fold(spark, d):
 
 
 @_query(
-    """, n AS (SELECT *, count(*) FILTER (event = 'leased') OVER (PARTITION BY search_id, task ORDER BY seq) AS number FROM journal WHERE event IN ('leased', 'committed', 'failed', 'rejected', 'faulted')),
+    f""", {_STATE}
+SELECT search_id, max(seq) FILTER (event NOT IN ('queued', 'checkpointed', 'program_bound')) AS seq, CAST(coalesce(arg_max(tasks, seq) FILTER (event = 'search_started'), 0) AS BIGINT) AS tasks, count(*) FILTER (event = 'committed') AS committed, count(*) FILTER (event = 'retried') AS retried, count(*) FILTER (event = 'rejected') AS rejected,
+  count(*) FILTER (event = 'faulted') AS faulted, count(*) FILTER (event = 'lease_expired') AS lease_expired, count(*) FILTER (event = 'checkpoint_degraded') AS checkpoint_degraded, count(*) FILTER (event = 'chain_rebound') AS rebound_chains, any_value(state.state) AS state FROM journal JOIN state USING (search_id) GROUP BY 1""",
+    v.JOURNAL,
+)
+def status_fold_counters(spark, d):
+    """The event-by-event fold, held against the aggregates."""
+    return live.fold_statuses(v.journal(spark, d)).drop("devices", "occupancy")
+
+
+@_query(
+    """, n AS (SELECT *, count(*) FILTER (event = 'leased') OVER (PARTITION BY search_id, task ORDER BY seq) AS number FROM journal WHERE event IN ('leased', 'lease_expired', 'committed', 'failed', 'rejected', 'faulted')),
 b AS (SELECT search_id, worker, arg_max(device, seq) AS device, arg_max(host, seq) AS host FROM journal WHERE event = 'worker_bound' GROUP BY 1, 2),
-a AS (SELECT search_id, task, number, max(attempt) FILTER (event = 'leased') AS attempt, max(worker) FILTER (event = 'leased') AS worker, max(ts_ms) FILTER (event = 'leased') AS started_ms, arg_min(ts_ms, seq) FILTER (event <> 'leased') AS ended_ms,
-  coalesce(arg_min(event, seq) FILTER (event <> 'leased'), 'in_flight') AS result, arg_min(coalesce(reason, chr(0)), seq) FILTER (event <> 'leased') AS reason FROM n WHERE number > 0 GROUP BY 1, 2, 3)
-SELECT search_id, task, number, attempt, worker, coalesce(device, '') AS device, coalesce(host, '') AS host, started_ms, ended_ms, result, nullif(reason, chr(0)) AS reason, false AS lease_expired FROM a LEFT JOIN b USING (search_id, worker)""",
+a AS (SELECT search_id, task, number, max(attempt) FILTER (event = 'leased') AS attempt, max(worker) FILTER (event = 'leased') AS worker, max(ts_ms) FILTER (event = 'leased') AS started_ms, arg_min(ts_ms, seq) FILTER (event NOT IN ('leased', 'lease_expired')) AS ended_ms,
+  coalesce(arg_min(event, seq) FILTER (event NOT IN ('leased', 'lease_expired')), 'in_flight') AS result, arg_min(coalesce(reason, chr(0)), seq) FILTER (event NOT IN ('leased', 'lease_expired')) AS reason,
+  coalesce(min(seq) FILTER (event = 'lease_expired') < coalesce(min(seq) FILTER (event NOT IN ('leased', 'lease_expired')), 9223372036854775807), false) AS lease_expired FROM n WHERE number > 0 GROUP BY 1, 2, 3)
+SELECT search_id, task, number, attempt, worker, coalesce(device, '') AS device, coalesce(host, '') AS host, started_ms, ended_ms, result, nullif(reason, chr(0)) AS reason, lease_expired FROM a LEFT JOIN b USING (search_id, worker)""",
     v.JOURNAL,
 )
 def task_attempts(spark, d):
     return journal.task_attempts(v.journal(spark, d))
 
 
-_OUTCOMES = """, o AS (SELECT search_id, task, arg_min(ts_ms, seq) FILTER (event = 'queued') AS queued_ms, arg_max(event, seq) FILTER (event IN ('leased', 'committed', 'rejected', 'faulted')) AS st FROM journal WHERE task IS NOT NULL GROUP BY 1, 2),
+_OUTCOMES = f""", o AS (SELECT search_id, task, arg_min(ts_ms, seq) FILTER (event = 'queued') AS queued_ms, arg_max(event, seq) FILTER (event IN ('leased', 'committed', 'rejected', 'faulted')) AS st FROM journal WHERE event IN {_LIFECYCLE} GROUP BY 1, 2),
 outcomes AS (SELECT search_id, task, queued_ms, CASE WHEN st = 'leased' THEN 'in_progress' ELSE coalesce(st, 'queued') END AS outcome FROM o)"""
 
 
@@ -124,7 +145,7 @@ def failed_tasks(spark, d):
 
 
 @_query(
-    """, p AS (SELECT DISTINCT search_id, unnest(['t0', 't07', 't24', 'zz']) AS prefix FROM journal), t AS (SELECT DISTINCT search_id, task FROM journal WHERE task IS NOT NULL),
+    f""", p AS (SELECT DISTINCT search_id, unnest(['t0', 't07', 't24', 'zz']) AS prefix FROM journal), t AS (SELECT DISTINCT search_id, task FROM journal WHERE event IN {_LIFECYCLE}),
 h AS (SELECT p.search_id, p.prefix, count(t.task) AS n, min(t.task) AS task FROM p LEFT JOIN t ON p.search_id = t.search_id AND starts_with(t.task, p.prefix) GROUP BY 1, 2)
 SELECT search_id, prefix, CASE n WHEN 1 THEN 'found' WHEN 0 THEN 'no task' ELSE 'ambiguous: ' || n END AS resolution, CASE WHEN n = 1 THEN task END AS task FROM h""",
     v.JOURNAL,
@@ -178,9 +199,17 @@ def running_commits(spark, d):
     return journal.running_commits(v.journal(spark, d))
 
 
-@_query(" SELECT DISTINCT search_id, task FROM journal WHERE task IS NOT NULL", v.JOURNAL)
+@_query(f" SELECT DISTINCT search_id, sha256(task) AS task FROM journal WHERE event IN {_LIFECYCLE} AND CAST(substr(task, 2) AS INTEGER) % 2 = 0", v.JOURNAL)
 def journaled_keys(spark, d):
-    return journal.journaled_keys(v.journal(spark, d))
+    """Every other task goes by a key in hex; the others have none."""
+    log = v.journal(spark, d)
+    even = F.substring("task", 2, 2).cast("int") % 2 == 0
+    return journal.journaled_keys(log.withColumn("task", F.when(even, F.sha2(F.col("task").cast("binary"), 256)).otherwise(F.col("task"))))
+
+
+@_query(" SELECT search_id, arg_max(digest, seq) AS digest FROM journal WHERE event = 'program_bound' GROUP BY 1", v.JOURNAL)
+def last_program(spark, d):
+    return journal.last_program(v.journal(spark, d))
 
 
 @_query(
@@ -192,7 +221,7 @@ def driver_changes(spark, d):
     return journal.driver_changes(v.journal(spark, d))
 
 
-@_query(" SELECT search_id, seq, event FROM journal WHERE event <> 'leased'", v.JOURNAL)
+@_query(" SELECT search_id, seq, event FROM journal WHERE event NOT IN ('leased', 'checkpointed')", v.JOURNAL)
 def narrated_events(spark, d):
     return journal.narrated(v.journal(spark, d)).select("search_id", "seq", "event")
 
@@ -223,8 +252,8 @@ def occupancy_buckets(spark, d):
 
 
 @_query(
-    """, s AS (SELECT search_id, arg_max(tasks, seq) FILTER (event = 'search_started') AS tasks, count(*) FILTER (event = 'committed') AS committed, count(*) FILTER (event = 'rejected') AS rejected, count(*) FILTER (event = 'faulted') AS faulted FROM journal GROUP BY 1)
-SELECT CAST(r AS VARCHAR) AS search_id, CAST(coalesce(tasks, 0) AS BIGINT) AS tasks, coalesce(committed, 0) AS committed, coalesce(rejected, 0) AS rejected, coalesce(faulted, 0) AS faulted, 'in_progress' AS state FROM range(12) t(r) LEFT JOIN s ON s.search_id = CAST(r AS VARCHAR)""",
+    f""", {_STATE}, s AS (SELECT search_id, arg_max(tasks, seq) FILTER (event = 'search_started') AS tasks, count(*) FILTER (event = 'committed') AS committed, count(*) FILTER (event = 'rejected') AS rejected, count(*) FILTER (event = 'faulted') AS faulted FROM journal GROUP BY 1)
+SELECT CAST(r AS VARCHAR) AS search_id, CAST(coalesce(tasks, 0) AS BIGINT) AS tasks, coalesce(committed, 0) AS committed, coalesce(rejected, 0) AS rejected, coalesce(faulted, 0) AS faulted, coalesce(state.state, 'in_progress') AS state FROM range(12) t(r) LEFT JOIN s ON s.search_id = CAST(r AS VARCHAR) LEFT JOIN state ON state.search_id = CAST(r AS VARCHAR)""",
     v.JOURNAL,
 )
 def search_summaries(spark, d):
@@ -276,14 +305,14 @@ _CONSTRAINTS = ledger.Constraints(gpu_models=("BRASS", "steel", "an"), verified_
 
 
 @_query(
-    """, ex AS (SELECT DISTINCT machine FROM incidents GROUP BY provider, machine HAVING count(*) >= 2)
+    """, ex AS (SELECT DISTINCT machine FROM incidents WHERE provider = 'p1' GROUP BY provider, machine HAVING count(*) >= 2)
 SELECT id, machine, gpu_model, price FROM offers WHERE (contains(lower(gpu_model), 'brass') OR contains(lower(gpu_model), 'steel') OR contains(lower(gpu_model), 'an')) AND verified AND gpu_count >= 5 AND cuda >= 12.0 AND NOT isnan(reliability) AND reliability >= 0.6 AND price <= 1600000000
   AND (machine = '' OR machine NOT IN (SELECT machine FROM ex)) ORDER BY price, id LIMIT 25""",
     v.OFFERS,
     v.INCIDENTS,
 )
 def offer_select_topk(spark, d):
-    return ledger.select_offers(v.offers(spark, d), _CONSTRAINTS, ledger.excluded_machines(v.incidents(spark, d)), 25).select("id", "machine", "gpu_model", "price")
+    return ledger.select_offers(v.offers(spark, d), _CONSTRAINTS, ledger.excluded_machines(v.incidents(spark, d)), 25, "p1").select("id", "machine", "gpu_model", "price")
 
 
 @_query(
@@ -373,8 +402,11 @@ others AS (SELECT DISTINCT object FROM (SELECT search_id, record_hash AS object
     v.STORE,
 )
 def removal_plan(spark, d):
+    """The guarded operator over a store in which every other search is finalized."""
     m = v.manifests(spark, d)
-    return store.removal_objects(m.agg(F.min("search_id")).first()[0], m, v.references(spark, d))
+    first = m.agg(F.min("search_id")).first()[0]
+    known = v.searches(spark, d).withColumn("finalized", F.col("search_id") != first)
+    return store.removal_plan(first, known, m, v.references(spark, d))
 
 
 @_query(" SELECT o_orderkey AS task_key, 'r' || o_orderkey AS record FROM orders WHERE o_orderkey % 3 <> 0 AND NOT (o_orderkey % 2 = 0)")
@@ -504,8 +536,7 @@ _HEX = "printf('%08X', (r >> 32)::BIGINT) || printf('%08X', (r & 4294967295::HUG
 @_query(f"WITH ids AS (SELECT o_orderkey AS i FROM orders), {_DRAWS} SELECT i, CAST(k AS INTEGER) AS k, {_HEX} AS word, (r >> 11)::DOUBLE * pow(2.0, -53) AS unit FROM d3")
 def prng_draws(spark, d):
     rows = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("i"))
-    seeded = rows.select("i", fn.derive(F.lit(_ROOT).cast("long"), F.col("i")).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    word = seeded.withColumn("w", fn.draw(F.col("s"), F.col("k")))
+    word = fn.with_draws(rows.select("i", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")), _ROOT, "i", "k", "w")
     return word.select("i", "k", fn.hex64(F.col("w")).alias("word"), fn.unit_f64(F.col("w")).alias("unit"))
 
 
@@ -646,10 +677,13 @@ def liveness_lines(spark, d):
 
 
 @_query(
-    """, c AS (SELECT *, count(*) FILTER (event = 'search_started') OVER (PARTITION BY search_id ORDER BY seq) AS ses FROM journal), d AS (SELECT *, max(restored) OVER w AS base, max(tasks) OVER w AS total, count(*) FILTER (event = 'committed') OVER w AS n FROM c WINDOW w AS (PARTITION BY search_id, ses ORDER BY seq))
+    """, c AS (SELECT *, count(*) FILTER (event = 'search_started') OVER (PARTITION BY search_id ORDER BY seq) AS ses FROM journal), d AS (SELECT *, max(CASE WHEN event = 'search_started' THEN restored END) OVER w AS base, max(tasks) OVER w AS total, count(*) FILTER (event = 'committed') OVER w AS n FROM c WINDOW w AS (PARTITION BY search_id, ses ORDER BY seq))
 SELECT search_id, seq, CASE event WHEN 'search_started' THEN CASE WHEN restored > 0 THEN 'resuming: ' || restored || '/' || tasks || ' committed, ' || greatest(0, tasks - restored) || ' outstanding' ELSE 'started: ' || tasks || ' tasks' END
+  WHEN 'retried' THEN 'retrying ' || task || ' (attempt ' || next_attempt || ')' WHEN 'faulted' THEN 'fault ' || task || ': ' || error WHEN 'lease_expired' THEN 'lease expired ' || task || ' (' || elapsed_ms || ' ms)' WHEN 'checkpoint_degraded' THEN 'checkpoint degraded ' || task || ': ' || error
+  WHEN 'checkpointed' THEN 'task ' || task || ' checkpointed (worker ' || worker || ')' WHEN 'search_finalized' THEN 'finalized: ' || restored || ' tasks committed' WHEN 'search_failed' THEN 'search failed on ' || task || ': ' || reason
+  WHEN 'search_interrupted' THEN 'interrupted: store resumable, run the search again to continue' WHEN 'chain_rebound' THEN 'chain ' || chain || ' rebound: d0 is absent, continuing on d1'
   WHEN 'committed' THEN 'committed ' || (coalesce(base, 0) + n) || '/' || coalesce(total, 0) || '  ' || task WHEN 'rejected' THEN 'rejected ' || task || ': ' || reason WHEN 'failed' THEN 'failed ' || task || ' (attempt ' || attempt || '): ' || reason WHEN 'leased' THEN 'task ' || task || ' started (worker ' || worker || ')' END AS line
-FROM d WHERE event IN ('search_started', 'committed', 'rejected', 'failed', 'leased')""",
+FROM d WHERE event NOT IN ('queued', 'worker_bound', 'program_bound')""",
     v.JOURNAL,
 )
 def narration(spark, d):
@@ -713,3 +747,187 @@ def refused_programs(spark, d):
     rows = spark.range(60)
     named = lambda n: F.concat(F.lit("p"), (F.col("id") % n).cast("string")).alias("digest")
     return placement.refused_programs(rows.select(F.col("id").alias("search_id"), named(2)), rows.select(F.col("id").alias("search_id"), named(3)))
+
+
+# ---- the store on disk, reports and supervision
+
+
+def _forms(spark, d):
+    """Loose objects are orders' keys but every third, packed ones those of even keys, by their hashes."""
+    o = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("hash"), F.col("o_orderkey").cast("string").cast("binary").alias("bytes"))
+    return o.where("k % 3 <> 0"), o.where("k % 2 = 0").withColumn("pack", F.col("k") % 5)
+
+
+_OBJECTS = "o AS (SELECT o_orderkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) AS hash FROM orders)"
+
+
+@_query(" SELECT DISTINCT hash FROM o WHERE k % 3 <> 0 OR k % 2 = 0", _OBJECTS)
+def held_objects(spark, d):
+    return objects.held_objects(*_forms(spark, d))
+
+
+@_query(" SELECT hash, k % 3 <> 0 OR k % 2 = 0 AS present FROM o", _OBJECTS)
+def object_presence(spark, d):
+    loose, packed = _forms(spark, d)
+    every = v.read(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("hash"))
+    return objects.present(every, loose, packed)
+
+
+@_query(" SELECT hash, CAST(k AS VARCHAR) AS text FROM o WHERE k % 7 = 2 AND (k % 3 <> 0 OR k % 2 = 0)", _OBJECTS)
+def object_read(spark, d):
+    loose, packed = _forms(spark, d)
+    asked = loose.select("k", "hash").unionByName(packed.select("k", "hash")).where("k % 7 = 2").select("hash")
+    return objects.get(asked, loose, packed).select("hash", F.col("bytes").cast("string").alias("text"))
+
+
+@_query(" SELECT task_key, record_hash FROM manifests", v.STORE)
+def task_index(spark, d):
+    return objects.task_index(v.manifests(spark, d))
+
+
+@_query(" SELECT p AS pack, n AS position, f AS fault FROM (SELECT l_orderkey AS p, l_linenumber AS n, CASE WHEN lag(l_partkey) OVER w >= l_partkey THEN 'not ascending' WHEN floor(l_extendedprice)::BIGINT % 10 <> coalesce(lag(floor(l_extendedprice)::BIGINT % 10 + floor(l_quantity)::BIGINT) OVER w, 0) THEN 'gap or overlap' END AS f FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE f IS NOT NULL")
+def pack_faults(spark, d):
+    rows = v.read(spark, d, "lineitem")
+    start = F.floor(F.col("l_extendedprice")).cast("long") % 10
+    return objects.pack_faults(rows.select(F.col("l_orderkey").alias("pack"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("hash"), start.alias("start"), F.floor(F.col("l_quantity")).cast("long").alias("length")))
+
+
+@_query(
+    f"""WITH RECURSIVE a AS (SELECT o_orderkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) AS hash, CAST(o_custkey AS BIGINT) AS size FROM orders WHERE o_orderkey % 3 <> 0), f AS (SELECT * FROM a WHERE k % 2 <> 0),
+o AS (SELECT size, substr(hash, 1, 1) AS shard, row_number() OVER (PARTITION BY substr(hash, 1, 1) ORDER BY hash) AS n FROM f),
+w AS (SELECT shard, n, size AS total, 1 AS fresh FROM o WHERE n = 1 UNION ALL SELECT o.shard, o.n, CASE WHEN w.total + o.size > 20000 THEN o.size ELSE w.total + o.size END, CASE WHEN w.total + o.size > 20000 THEN 1 ELSE 0 END FROM w JOIN o ON o.shard = w.shard AND o.n = w.n + 1)
+SELECT (SELECT count(*) FROM f) AS objects_packed, (SELECT CAST(sum(fresh) AS BIGINT) FROM w) AS packs_written, (SELECT count(*) FROM a) AS loose_removed, (SELECT CAST(sum(size) AS BIGINT) FROM f) AS raw_bytes, (SELECT CAST(sum(least(size, 700)) AS BIGINT) FROM f) AS stored_bytes"""
+)
+def pack_report(spark, d):
+    o = v.read(spark, d, "orders")
+    size = F.col("o_custkey").cast("long")
+    rows = o.select(F.col("o_orderkey").alias("k"), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("hash"), size.alias("size"), F.least(size, F.lit(700)).alias("stored"))
+    return objects.compaction(rows.where("k % 3 <> 0").drop("k"), rows.where("k % 2 = 0").select("hash"), 20_000)[1]
+
+
+@_query(
+    _LIVE
+    + """, doomed AS (SELECT object FROM held WHERE object NOT IN (SELECT object FROM live)) SELECT (SELECT count(*) FROM doomed) AS objects_removed, (SELECT count(*) FROM manifests WHERE record_hash IN (SELECT object FROM doomed)) AS index_entries_removed,
+  (SELECT count(DISTINCT CAST(substr(object, 2) AS BIGINT) % 40) FROM doomed WHERE starts_with(object, 'p')) AS packs_rewritten, (SELECT count(*) FROM searches WHERE NOT finalized) AS searches_removed""",
+    v.STORE,
+)
+def gc_report(spark, d):
+    held = _held(spark, d)
+    packed = held.where(F.col("object").startswith("p")).select((F.substring("object", 2, 20).cast("long") % 40).alias("pack"), F.col("object").alias("hash"))
+    return objects.gc_report(held, v.searches(spark, d), v.manifests(spark, d), v.references(spark, d), packed)
+
+
+@_query(" SELECT count(*) FILTER (k % 3 <> 0 AND k % 2 <> 0) AS records_sent, count(*) FILTER (k % 2 = 0 AND k % 3 = 0) AS records_received, count(*) FILTER (k % 5 <> 0 AND k % 7 <> 0) AS objects_sent, count(*) FILTER (k % 7 = 0 AND k % 5 = 0) AS objects_received FROM o", _OBJECTS)
+def sync_report(spark, d):
+    k = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    rows = lambda test, name: k.where(test).select(F.col("k").alias(name))
+    return objects.sync_report(rows("k % 3 <> 0", "task_key"), rows("k % 2 = 0", "task_key"), rows("k % 5 <> 0", "object"), rows("k % 7 = 0", "object"))
+
+
+@_query(" SELECT 'record' AS what, CAST(task_key AS VARCHAR) AS id FROM manifests WHERE task_key % 3 = 0 UNION ALL SELECT 'object', object FROM held WHERE CAST(regexp_extract(object, '[0-9]+') AS BIGINT) % 11 = 0".replace(" SELECT 'record'", _LIVE + " SELECT 'record'", 1), v.STORE)
+def sync_offer(spark, d):
+    """What a side advertises of the keys and objects that it is asked for."""
+    m, held = v.manifests(spark, d), _held(spark, d)
+    asked = m.where("task_key % 3 = 0").select("task_key").unionByName(spark.range(5).select((-F.col("id") - 1).alias("task_key")))
+    named = held.where(F.regexp_extract("object", "[0-9]+", 0).cast("long") % 11 == 0).unionByName(spark.range(5).select(F.concat(F.lit("none"), F.col("id").cast("string")).alias("object")))
+    records, offered = objects.offered(asked, m, named, held)
+    return records.select(F.lit("record").alias("what"), F.col("task_key").cast("string").alias("id")).unionByName(offered.select(F.lit("object").alias("what"), F.col("object").alias("id")))
+
+
+@_query(" SELECT o_orderkey AS task_key, 'r' || o_orderkey AS record FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def synchronized(spark, d):
+    """The union of two stores that agree where they overlap."""
+    o = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("task_key"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("record"))
+    return store.synchronized(o.where("task_key % 3 <> 0"), o.where("task_key % 2 = 0"))
+
+
+@_query(
+    """ SELECT o_orderkey AS task_key, part, object FROM (SELECT o_orderkey, unnest(['spec', 'params', 'environment']) AS part, unnest(['s' || (o_custkey % 50), 'q' || (o_orderkey % 20), 'e' || (o_orderkey % 3)]) AS object FROM orders) WHERE object IN ('s7', 'q3', 'q4')"""
+)
+def replica_faults(spark, d):
+    o = v.read(spark, d, "orders")
+    name = lambda c, key, n: F.concat(F.lit(c), (F.col(key) % n).cast("string"))
+    records = o.select(F.col("o_orderkey").alias("task_key"), name("s", "o_custkey", 50).alias("spec"), name("q", "o_orderkey", 20).alias("params"), name("e", "o_orderkey", 3).alias("environment"))
+    every = records.select(F.explode(F.array("spec", "params", "environment")).alias("object")).distinct()
+    return objects.replica_faults(records, every.where(~F.col("object").isin("s7", "q3", "q4")))
+
+
+@_query(" SELECT o_custkey AS search_id, o_orderkey AS task_key, 'r' || o_orderkey AS record_hash FROM orders WHERE o_orderstatus = 'F'")
+def finalized_manifest(spark, d):
+    m = v.manifests(spark, d)
+    closed = v.read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("search_id"), F.col("o_orderkey").alias("task_key"))
+    return store.finalize(closed, m).select("search_id", "task_key", "record_hash")
+
+
+@_query(" SELECT l_partkey % 40 AS class, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+def first_seen_classes(spark, d):
+    rows = v.read(spark, d, "lineitem").where("l_returnflag = 'R'").select((F.col("l_partkey") % 40).alias("class"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return store.insertion_distinct(rows, "class", "ord")
+
+
+@_query(" SELECT search_id, worker, seq FROM (SELECT *, row_number() OVER (PARTITION BY search_id, worker ORDER BY seq) AS n FROM journal WHERE event = 'worker_bound') WHERE n % 3 = 0", v.JOURNAL)
+def checkpoint_saves(spark, d):
+    rows = v.journal(spark, d).where("event = 'worker_bound'").select("search_id", "worker", "seq", "ts_ms", F.lit(0).cast("long").alias("start_ms"))
+    return live.saves(rows, ["search_id", "worker"], 3, None).select("search_id", "worker", "seq")
+
+
+@_query(" SELECT ord, destination FROM (SELECT o_orderkey AS ord, 'a' || (o_custkey % 400) AS destination, row_number() OVER (PARTITION BY o_custkey % 400 ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey % 5 <> 0) WHERE n > 1")
+def repeated_destinations(spark, d):
+    o = v.read(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("ord"), F.lit(0).alias("slot"), F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("a"), (F.col("o_custkey") % 400).cast("string"))).alias("destination"))
+    return placement.repeated_destinations(rows).select("ord", "destination")
+
+
+@_query(
+    """ SELECT prefix, CASE WHEN prefix = '' THEN 'empty prefix' WHEN n = 1 THEN 'found' WHEN n = 0 THEN 'no search' ELSE 'ambiguous: ' || ids END AS resolution, CASE WHEN n = 1 THEN ids END AS search_id FROM (
+  SELECT prefix, count(s) AS n, string_agg(s, ', ' ORDER BY s) AS ids FROM (SELECT unnest(['', '1', '12', '1234567', 'x'] ) AS prefix) LEFT JOIN (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS s FROM orders) ON prefix <> '' AND starts_with(s, prefix) GROUP BY 1)"""
+)
+def search_prefixes(spark, d):
+    registry = v.searches(spark, d).select(F.col("search_id").cast("string").alias("search_id"))
+    return journal.search_prefix(registry, spark.range(1).select(F.explode(F.array(*map(F.lit, ("", "1", "12", "1234567", "x")))).alias("prefix")))
+
+
+@_query(" SELECT tag, started_ms, cost_micro_usd FROM spend UNION ALL SELECT tag, created_ms, CAST(7 AS DECIMAL(20,0)) FROM instances WHERE st <> 'F' AND CAST(substr(tag, 2) AS BIGINT) % 4 = 0", v.INSTANCES)
+def spend_close_out(spark, d):
+    """Closing all of every fourth rental, those that are closed already too."""
+    rows, spend = v.instances(spark, d), v.spend(spark, d)
+    again = rows.where(F.substring("tag", 2, 20).cast("long") % 4 == 0)
+    closed = again.select("tag", "provider", "owner", "price_micro_usd_hour", F.col("created_ms").alias("started_ms"), F.col("created_ms").alias("ended_ms"), F.lit(7).cast("decimal(20,0)").alias("cost_micro_usd"))
+    return ledger.close_out(spend, closed.unionByName(closed)).select("tag", "started_ms", "cost_micro_usd")
+
+
+@_query(" SELECT tag FROM instances WHERE state <> 'intent'", v.INSTANCES)
+def instances_removed(spark, d):
+    rows = v.instances(spark, d)
+    return ledger.remove(rows, rows.where("state = 'intent'").unionByName(rows.limit(0)), ["tag"]).select("tag")
+
+
+@_query(" SELECT o_custkey AS search_id, o_orderkey AS task_key, CASE WHEN k = 1 AND o_orderkey % 10 <> 0 THEN 'c' || o_orderkey END AS payload FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders)")
+def checkpoint_slots(spark, d):
+    """One slot a search, written by each of its tasks in turn; one in ten frames is torn."""
+    o = v.read(spark, d, "orders").select(F.col("o_custkey").alias("search_id"), F.lit(0).alias("slot"), F.col("o_orderkey").alias("task_key"))
+    torn = F.col("task_key") % 10 == 0
+    writes = o.select("search_id", "slot", F.when(~torn, F.col("task_key")).alias("owner"), F.when(~torn, F.concat(F.lit("c"), F.col("task_key").cast("string"))).alias("payload"), F.col("task_key").alias("at"))
+    slots = objects.save_slots(writes.drop("at").limit(0), writes, ["search_id", "slot"], "at")
+    return objects.load_checkpoints(slots, o).select("search_id", "task_key", "payload")
+
+
+@_query(" SELECT DISTINCT 'd' || l_orderkey AS digest, unnest(['d' || l_orderkey, 'p' || l_partkey]) AS object FROM lineitem")
+def payload_closure(spark, d):
+    rows = v.read(spark, d, "lineitem").select(F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("digest"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("object"))
+    return objects.payload_closure(rows)
+
+
+@_query(f", {_STATE} SELECT search_id, state, state <> 'in_progress' OR CAST(search_id AS INTEGER) % 2 = 0 AS over, CASE WHEN state <> 'in_progress' OR CAST(search_id AS INTEGER) % 2 = 0 THEN CASE state WHEN 'failed' THEN 1 WHEN 'interrupted' THEN 2 ELSE 0 END END AS exit FROM state", v.JOURNAL)
+def follow_ends(spark, d):
+    """Odd searches are held by somebody."""
+    log = v.journal(spark, d)
+    held = log.select("search_id").distinct().where(F.col("search_id").cast("int") % 2 == 1).withColumn("holder", F.lit("host"))
+    return feed.terminations(log, held)
+
+
+@_query(f", {_CHARGED}, b AS (SELECT owner, CASE WHEN total >= {_CAP} THEN 'spend' WHEN {v.NOW_MS} >= first_ms + {_WALL} THEN 'wall_clock' ELSE 'within' END AS verdict FROM report) SELECT i.owner, i.tag, CASE WHEN verdict <> 'within' THEN 'wind down: ' || verdict WHEN CAST(substr(i.tag, 2) AS BIGINT) % 4 = 0 THEN 'replace' ELSE 'keep' END AS action FROM instances i JOIN b USING (owner) WHERE state = 'live' AND st <> 'F'", v.INSTANCES)
+def heartbeat_actions(spark, d):
+    rows = v.instances(spark, d)
+    polled = rows.where("instance is not null").select("instance", F.when(F.substring("tag", 2, 20).cast("long") % 4 == 0, "gone").otherwise("ready").alias("status"))
+    return supervise.heartbeat(rows, v.spend(spark, d), polled, v.NOW_MS, _CAP, _WALL)

@@ -20,21 +20,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log, from ``events``: k is the number in props, user_id picks the search."""
+    """The event log, from ``events``: k is the number in props, from 0 to 99, user_id picks the search."""
     k = F.get_json_object("props", "$.k").cast("int")
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
     kind = (
         F.when((F.col("event_type") == "signup") & (F.col("k") < 5), "search_started")
+        .when((F.col("event_type") == "signup") & (F.col("k") < 8), "search_interrupted")
+        .when((F.col("event_type") == "signup") & (F.col("k") < 10), "search_finalized")
+        .when((F.col("event_type") == "signup") & (F.col("k") < 12), "search_failed")
         .when(F.col("event_type") == "signup", "queued")
+        .when((F.col("event_type") == "view") & (F.col("k") == 98), "checkpoint_degraded")
+        .when((F.col("event_type") == "view") & (F.col("k") == 99), "checkpointed")
         .when(F.col("event_type") == "view", "leased")
         .when(F.col("event_type") == "purchase", "committed")
         .when((F.col("event_type") == "error") & (F.col("k") % 10 == 0), "rejected")
+        .when((F.col("event_type") == "error") & (F.col("k") % 10 == 1), "faulted")
+        .when((F.col("event_type") == "error") & (F.col("k") % 10 == 2), "lease_expired")
+        .when((F.col("event_type") == "error") & (F.col("k") % 10 == 3), "retried")
         .when(F.col("event_type") == "error", "failed")
+        .when((F.col("event_type") == "click") & (F.col("k") == 50), "chain_rebound")
+        .when((F.col("event_type") == "click") & (F.col("k") == 51), "program_bound")
         .when(F.col("event_type") == "click", "worker_bound")
     )
     started = kind == "search_started"
     bound = kind == "worker_bound"
-    named = ~started & ~bound
+    rebound = kind == "chain_rebound"
+    named = ~kind.isin("search_started", "search_interrupted", "search_finalized", "worker_bound", "chain_rebound", "program_bound")
     return e.select(
         (F.col("user_id") % 10).cast("string").alias("search_id"),
         F.col("event_id").alias("seq"),
@@ -42,16 +53,23 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(floor(cast(cast(cast(ts as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20,6)) * 1000) as bigint)").alias("ts_ms"),
         kind.alias("event"),
         F.when(named, F.format_string("t%02d", F.col("k") % 25)).alias("task"),
-        F.when(bound | (kind == "leased"), (F.col("k") % 25 % 4).cast("long")).alias("worker"),
+        F.when(bound | kind.isin("leased", "lease_expired", "checkpointed"), (F.col("k") % 25 % 4).cast("long")).alias("worker"),
         F.when(bound, F.concat(F.lit("d"), (F.col("k") % 3).cast("string"))).alias("device"),
         F.when(bound, F.when(F.col("k") % 2 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("k") % 4).cast("string")))).alias("host"),
         F.when(bound, F.concat(F.lit("v"), (F.col("k") % 5).cast("string"))).alias("driver"),
-        F.when(named & (kind != "queued"), (F.col("k") % 3).cast("int")).alias("attempt"),
+        F.when(kind.isin("leased", "committed", "failed", "rejected", "faulted"), (F.col("k") % 3).cast("int")).alias("attempt"),
+        F.when(kind == "retried", (F.col("k") % 3 + 1).cast("int")).alias("next_attempt"),
+        F.when(kind == "lease_expired", F.col("k").cast("long") * 100).alias("elapsed_ms"),
+        F.when(kind.isin("faulted", "checkpoint_degraded"), F.concat(F.lit("e"), F.col("k").cast("string"))).alias("error"),
+        F.when(kind == "program_bound", F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string"))).alias("digest"),
+        F.when(rebound, F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string"))).alias("chain"),
+        F.when(rebound, F.lit("d0")).alias("from"),
+        F.when(rebound, F.lit("d1")).alias("to"),
         F.when(kind.isin("committed", "failed", "rejected"), F.array(F.struct(F.lit("value").alias("name"), F.floor("value").cast("double").alias("value")))).alias("stats"),
         F.when(kind == "committed", F.concat(F.lit("r"), F.col("event_id").cast("string"))).alias("record"),
-        F.when(kind.isin("failed", "rejected"), F.concat(F.lit("k"), F.col("k").cast("string"))).alias("reason"),
+        F.when(kind.isin("failed", "rejected", "search_failed"), F.concat(F.lit("k"), F.col("k").cast("string"))).alias("reason"),
         F.when(started, F.col("k").cast("long") + 20).alias("tasks"),
-        F.when(started, F.col("k").cast("long")).alias("restored"),
+        F.when(started | (kind == "search_finalized"), F.col("k").cast("long")).alias("restored"),
     )
 
 
@@ -59,21 +77,24 @@ JOURNAL = """
 e AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
 ), ek AS (
-  SELECT *, CASE WHEN event_type = 'signup' AND k < 5 THEN 'search_started' WHEN event_type = 'signup' THEN 'queued' WHEN event_type = 'view' THEN 'leased'
-    WHEN event_type = 'purchase' THEN 'committed' WHEN event_type = 'error' AND k % 10 = 0 THEN 'rejected' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'click' THEN 'worker_bound' END AS event FROM e
+  SELECT *, CASE WHEN event_type = 'signup' AND k < 5 THEN 'search_started' WHEN event_type = 'signup' AND k < 8 THEN 'search_interrupted' WHEN event_type = 'signup' AND k < 10 THEN 'search_finalized' WHEN event_type = 'signup' AND k < 12 THEN 'search_failed' WHEN event_type = 'signup' THEN 'queued'
+    WHEN event_type = 'view' AND k = 98 THEN 'checkpoint_degraded' WHEN event_type = 'view' AND k = 99 THEN 'checkpointed' WHEN event_type = 'view' THEN 'leased' WHEN event_type = 'purchase' THEN 'committed'
+    WHEN event_type = 'error' AND k % 10 = 0 THEN 'rejected' WHEN event_type = 'error' AND k % 10 = 1 THEN 'faulted' WHEN event_type = 'error' AND k % 10 = 2 THEN 'lease_expired' WHEN event_type = 'error' AND k % 10 = 3 THEN 'retried' WHEN event_type = 'error' THEN 'failed'
+    WHEN event_type = 'click' AND k = 50 THEN 'chain_rebound' WHEN event_type = 'click' AND k = 51 THEN 'program_bound' WHEN event_type = 'click' THEN 'worker_bound' END AS event FROM e
 ), journal AS (
   SELECT CAST(user_id % 10 AS VARCHAR) AS search_id, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, event,
-    CASE WHEN event NOT IN ('search_started', 'worker_bound') THEN printf('t%02d', k % 25) END AS task,
-    CASE WHEN event IN ('worker_bound', 'leased') THEN CAST(k % 25 % 4 AS BIGINT) END AS worker,
+    CASE WHEN event NOT IN ('search_started', 'search_interrupted', 'search_finalized', 'worker_bound', 'chain_rebound', 'program_bound') THEN printf('t%02d', k % 25) END AS task,
+    CASE WHEN event IN ('worker_bound', 'leased', 'lease_expired', 'checkpointed') THEN CAST(k % 25 % 4 AS BIGINT) END AS worker,
     CASE WHEN event = 'worker_bound' THEN 'd' || (k % 3) END AS device,
     CASE WHEN event = 'worker_bound' THEN CASE WHEN k % 2 = 0 THEN '' ELSE 'h' || (k % 4) END END AS host,
     CASE WHEN event = 'worker_bound' THEN 'v' || (k % 5) END AS driver,
-    CASE WHEN event NOT IN ('search_started', 'worker_bound', 'queued') THEN k % 3 END AS attempt,
+    CASE WHEN event IN ('leased', 'committed', 'failed', 'rejected', 'faulted') THEN k % 3 END AS attempt, CASE WHEN event = 'retried' THEN k % 3 + 1 END AS next_attempt, CASE WHEN event = 'lease_expired' THEN k * 100 END AS elapsed_ms,
+    CASE WHEN event IN ('faulted', 'checkpoint_degraded') THEN 'e' || k END AS error, CASE WHEN event = 'program_bound' THEN 'g' || (event_id % 3) END AS digest, CASE WHEN event = 'chain_rebound' THEN 'c' || (event_id % 7) END AS chain,
     CASE WHEN event IN ('committed', 'failed', 'rejected') THEN floor(value) END AS stat,
     CASE WHEN event = 'committed' THEN 'r' || event_id END AS record,
-    CASE WHEN event IN ('failed', 'rejected') THEN 'k' || k END AS reason,
+    CASE WHEN event IN ('failed', 'rejected', 'search_failed') THEN 'k' || k END AS reason,
     CASE WHEN event = 'search_started' THEN k + 20 END AS tasks,
-    CASE WHEN event = 'search_started' THEN k END AS restored
+    CASE WHEN event IN ('search_started', 'search_finalized') THEN k END AS restored
   FROM ek WHERE event IS NOT NULL
 )"""
 

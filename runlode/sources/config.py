@@ -6,7 +6,7 @@ import re
 import tomllib
 from dataclasses import MISSING, dataclass, field, fields
 
-NAME = re.compile(r"^[a-z0-9._-]{1,64}$")
+NAME = re.compile(r"[a-z0-9._-]{1,64}")
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Search:
         if self.segments is not None and self.segments < 1:
             raise ValueError("segments must be at least 1")
         for name in (self.format, self.generator):
-            if not NAME.match(name):
+            if not NAME.fullmatch(name):
                 raise ValueError(f"{name!r} is not a name")
         if snapshot := self.params.get("snapshot_when"):
             if self.segments is not None:

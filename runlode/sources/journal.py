@@ -10,13 +10,19 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 LINES = "search_id string, seq long, offset long, line string"
 
+#: The kinds of events, fixed.
+KINDS = (
+    "search_started", "queued", "leased", "committed", "failed", "retried", "rejected", "faulted", "lease_expired", "checkpoint_degraded",
+    "checkpointed", "worker_bound", "program_bound", "driver_changed", "chain_rebound", "search_finalized", "search_failed", "search_interrupted", "renting", "awaiting_machine",
+    "sending_search", "installing_program", "starting_search", "acquisition_abandoned", "instance_online", "instance_lost", "instance_replaced", "budget_spend_exhausted", "budget_wall_clock_exhausted", "diagnostic",
+)
 _TEXT = ("event", "task", "record", "device", "host", "driver", "program", "reason", "error", "stats_blob_hex", "format", "binary", "digest", "chain", "from", "to", "search", "level", "source", "message", "tag", "instance", "gpu_model", "member", "machine")
 _LONG = ("ts_ms", "tasks", "committed", "worker", "attempt", "next_attempt", "elapsed_ms", "gpu_count", "rate_microusd_hour", "timeout_ms", "objects", "released", "accrued_microusd", "cap_microusd", "deadline_ms")
 #: All fields of all events beside each other; an absent one is null.
@@ -30,15 +36,23 @@ EVENT = T.StructType(
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(search_id, seq, offset, line) of all files at ``path``, by Spark's own readers.
 
-    A file is one row of bytes first, so each log is one task; a missing path is an error here, and
-    ``read_journal`` turns it into no rows.
+    Files are read in splits. Lines are numbered and their bytes added up within a split, in the order
+    in which they were read, and over the splits of a file before it; no task has more than a split. A
+    line that is no UTF-8 is an error, and so is a missing path, which ``read_journal`` turns into no
+    rows.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(?:\.jsonl)?$", 1).alias("search_id"), F.decode("content", "UTF-8").alias("text"))
-    parts = F.split("text", "\n", -1)
-    whole = files.select("search_id", F.slice(parts, 1, F.size(parts) - 1).alias("lines"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    starts = F.aggregate("lines", begin, lambda a, x: F.struct((a["at"] + F.octet_length(x) + 1).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
-    return whole.select("search_id", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), starts.alias("offset"))).alias("p", "x")).select("search_id", F.col("p").cast("long").alias("seq"), "x.offset", "x.line")
+    read = spark.read.option("lineSep", "\n").text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"), (F.octet_length("value") + 1).cast("long").alias("n"))
+    order = Window.partitionBy("file", "split").orderBy("at")
+    placed = rows.withColumn("k", F.row_number().over(order) - 1).withColumn("o", F.sum("n").over(order) - F.col("n"))
+    splits = rows.groupBy("file", "split").agg(F.count("*").alias("lines"), F.sum("n").alias("bytes"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    starts = splits.select("file", "split", F.coalesce(F.sum("lines").over(before), zero).alias("first"), F.coalesce(F.sum("bytes").over(before), zero).alias("begin"))
+    joined = placed.join(starts, ["file", "split"]).withColumn("offset", F.col("begin") + F.col("o"))
+    whole = joined.where(F.col("offset") + F.col("n") <= F.col("size"))  # else no line feed ends it
+    valid = F.assert_true(F.is_valid_utf8("line"), F.lit("a line of the journal is no UTF-8"))
+    return whole.where(valid.isNull()).select(F.regexp_extract("file", r"([^/]+?)(?:\.jsonl)?$", 1).alias("search_id"), (F.col("first") + F.col("k")).cast("long").alias("seq"), "offset", "line")
 
 
 def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -49,8 +63,11 @@ def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
     mode = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
     schema = T.StructType(EVENT.fields[:-1]) if strict else EVENT
     read = lines.withColumn("e", F.from_json("line", schema, mode))
-    if not strict:
-        read = read.where(F.col("e.corrupt").isNull() & F.col("e.event").isNotNull() & F.col("e.ts_ms").isNotNull())
+    known = F.coalesce(F.col("e.event").isin(*KINDS) & F.col("e.ts_ms").isNotNull(), F.lit(False))
+    if strict:
+        read = read.where(F.assert_true(known, F.lit("a line of the journal is no event")).isNull())
+    else:
+        read = read.where(F.col("e.corrupt").isNull() & known)
     stats = F.transform("e.stats", lambda s: F.struct(s["name"].alias("name"), F.coalesce(s["value"], F.lit(float("nan"))).alias("value")))
     fields = [F.col(f"e.{n}").alias("restored" if n == "committed" else n) for n in (*_TEXT, *_LONG)]
     return read.select("search_id", "seq", *fields, stats.alias("stats"))
@@ -67,6 +84,16 @@ def read_journal(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return parse(lines, strict)
 
 
+def to_lines(events: DataFrame) -> DataFrame:
+    """(search_id, seq, line): events as JSON text, as ``parse`` reads it; numbers that are none become null."""
+    have = set(events.columns)
+    stats = F.transform("stats", lambda s: F.struct(s["name"].alias("name"), F.when(~F.isnan(s["value"]) & (F.abs(s["value"]) < float("inf")), s["value"]).alias("value")))
+    fields = [F.col(f"`{'restored' if n == 'committed' else n}`").alias(n) for n in (*_LONG[:1], *_TEXT, *_LONG[1:]) if ("restored" if n == "committed" else n) in have]
+    if "stats" in have:
+        fields.append(stats.alias("stats"))
+    return events.select("search_id", "seq", F.to_json(F.struct(*fields)).alias("line"))
+
+
 def append_lines(path: str, lines: Sequence[str]) -> None:
     """Appends a batch by one write and one sync. Empty lines and line breaks in a line are refused."""
     for line in lines:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -118,20 +119,41 @@ def lease_timeouts(stream: DataFrame, limit_ms: int) -> DataFrame:
     return acts.groupBy("search_id", "task").applyInPandasWithState(run, "search_id string, task string, event string", "held boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _in_order(rows: DataFrame, keys: list[str], columns: list[str], step: Callable, begin: object) -> DataFrame:
+    """The rows that ``step`` lets through, each key's rows in the order of the first column.
+
+    step(state, row) gives (state, whether the row goes through). Rows of a key meet in one task, sorted,
+    and pass one by one; what a task holds is one state and one batch.
+    """
+    ready = rows.select(*keys, *[F.col(c).cast("long").alias(c) for c in columns]).repartition(*keys).sortWithinPartitions(*keys, *columns)
+    n = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, begin
+        for batch in batches:
+            kept = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:n] != now:
+                    now, state = r[:n], begin
+                state, through = step(state, r[n:])
+                kept.append(through)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return ready.mapInArrow(fold, ready.schema)
+
+
 def limited(rows: DataFrame, keys: list[str], gap_ms: int = 10_000) -> DataFrame:
     """Rows (keys, seq, ts_ms) that may be told: the first of a key, then none within the gap of the last told.
 
     Which row is told depends on the one told before, so a key's rows are folded in order; the fold
     carries one number.
     """
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<seq:bigint,ts_ms:bigint>>").alias("out"))
 
-    def step(acc, x):
-        due = acc["last"].isNull() | (x["ts_ms"] - acc["last"] >= gap_ms)
-        return F.struct(F.when(due, x["ts_ms"]).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    def step(last: int | None, row: tuple) -> tuple[int | None, bool]:
+        due = last is None or row[1] - last >= gap_ms
+        return (row[1] if due else last), due
 
-    item = F.struct(F.col("seq").cast("long").alias("seq"), F.col("ts_ms").cast("long").alias("ts_ms"))
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs")).select(*keys, F.explode(F.aggregate("xs", start, step)["out"]).alias("x")).select(*keys, "x.seq", "x.ts_ms")
+    return _in_order(rows, keys, ["seq", "ts_ms"], step, None)
 
 
 def saves(rows: DataFrame, keys: list[str], every: int | None, interval_ms: int | None) -> DataFrame:
@@ -140,17 +162,11 @@ def saves(rows: DataFrame, keys: list[str], every: int | None, interval_ms: int
     One is due at every ``every``-th offer since the last save or when the interval since it has
     passed; the clock starts at start_ms. A save resets both.
     """
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<seq:bigint,ts_ms:bigint,start_ms:bigint>>").alias("out"))
-
-    def step(acc, x):
-        n = acc["n"] + 1
-        since = x["ts_ms"] - F.coalesce(acc["last"], x["start_ms"])
-        due = F.lit(False)
-        if every is not None:
-            due = due | (n >= every)
-        if interval_ms is not None:
-            due = due | (since >= interval_ms)
-        return F.struct(F.when(due, 0).otherwise(n).alias("n"), F.when(due, x["ts_ms"]).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
-
-    item = F.struct(*[F.col(c).cast("long").alias(c) for c in ("seq", "ts_ms", "start_ms")])
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs")).select(*keys, F.explode(F.aggregate("xs", start, step)["out"]).alias("x")).select(*keys, "x.seq", "x.ts_ms")
+
+    def step(state: tuple[int, int | None], row: tuple) -> tuple[tuple[int, int | None], bool]:
+        n, last = state[0] + 1, state[1]
+        since = row[1] - (row[2] if last is None else last)
+        due = every is not None and n >= every or interval_ms is not None and since >= interval_ms
+        return ((0, row[1]) if due else (n, last)), due
+
+    return _in_order(rows, keys, ["seq", "ts_ms", "start_ms"], step, (0, None)).select(*keys, "seq", "ts_ms")
