@@ -50,13 +50,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     starts = splits.select("file", "split", F.coalesce(F.sum("lines").over(before), zero).alias("first"), F.coalesce(F.sum("bytes").over(before), zero).alias("begin"))
     joined = placed.join(starts, ["file", "split"]).withColumn("offset", F.col("begin") + F.col("o"))
-    whole = joined.where(F.col("offset") + F.col("n") <= F.col("size"))  # else no line feed ends it
-    valid = F.assert_true(F.is_valid_utf8("line"), F.lit("a line of the journal is no UTF-8"))
+    # A line that no line feed ends is none, and nothing may look into it, however the plan is ordered.
+    whole = joined.withColumn("line", F.when(F.col("offset") + F.col("n") <= F.col("size"), F.col("line"))).where("line is not null")
+    valid = F.assert_true(F.coalesce(F.is_valid_utf8("line"), F.lit(True)), F.lit("a line of the journal is no UTF-8"))
     return whole.where(valid.isNull()).select(F.regexp_extract("file", r"([^/]+?)(?:\.jsonl)?$", 1).alias("search_id"), (F.col("first") + F.col("k")).cast("long").alias("seq"), "offset", "line")
 
 
 def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """Events from lines. Strict: a line that is no event is an error; else it is left out.
+    """Events from lines. Strict: a line that is no event is an error; else it is left out. A null line is none.
 
     A statistic that is null in the log is not a number.
     """
@@ -65,7 +66,7 @@ def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
     read = lines.withColumn("e", F.from_json("line", schema, mode))
     known = F.coalesce(F.col("e.event").isin(*KINDS) & F.col("e.ts_ms").isNotNull(), F.lit(False))
     if strict:
-        read = read.where(F.assert_true(known, F.lit("a line of the journal is no event")).isNull())
+        read = read.where("line is not null").where(F.assert_true(F.col("line").isNull() | known, F.lit("a line of the journal is no event")).isNull())
     else:
         read = read.where(F.col("e.corrupt").isNull() & known)
     stats = F.transform("e.stats", lambda s: F.struct(s["name"].alias("name"), F.coalesce(s["value"], F.lit(float("nan"))).alias("value")))
