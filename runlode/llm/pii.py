@@ -257,12 +257,12 @@ def _score(span: Column, model: dict[str, tuple[dict, dict]]) -> Column:
 
 
 def label(found: DataFrame, model: dict[str, tuple[dict, dict]], threshold: float = 0.5) -> DataFrame:
-    """``found`` with spans: all base ones, and the wider ones that the classifier takes, in order.
+    """``found`` with spans: all base ones, and the wider ones that score above the threshold, in order.
 
     Each has kind, start, end and base; the order is by start, then kind as in ALL_KINDS, then end.
     """
     rank = lambda k: F.array_position(F.array(*map(F.lit, ALL_KINDS)), k)
-    taken = F.filter("spans", lambda x: x["base"] | (_score(x, model) >= threshold))
+    taken = F.filter("spans", lambda x: x["base"] | (_score(x, model) > threshold))
     keyed = F.array_sort(F.transform(taken, lambda x: F.struct(x["start"].alias("start"), rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"))))
     empty = F.size("spans") == 0
     out = F.transform(keyed, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
