@@ -785,11 +785,12 @@ def task_index(spark, d):
     return objects.task_index(v.manifests(spark, d))
 
 
-@_query(" SELECT p AS pack, n AS position, f AS fault FROM (SELECT l_orderkey AS p, l_linenumber AS n, CASE WHEN lag(l_partkey) OVER w >= l_partkey THEN 'not ascending' WHEN floor(l_extendedprice)::BIGINT % 10 <> coalesce(lag(floor(l_extendedprice)::BIGINT % 10 + floor(l_quantity)::BIGINT) OVER w, 0) THEN 'gap or overlap' END AS f FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE f IS NOT NULL")
+@_query(
+    " SELECT * FROM (SELECT p_partkey % 50 AS pack, p_partkey AS position, CASE WHEN lag(p_type) OVER w >= p_type THEN 'not ascending' WHEN p_size % 3 <> coalesce(lag(p_size % 3 + p_size % 2) OVER w, 0) THEN 'gap or overlap' END AS fault FROM part WINDOW w AS (PARTITION BY p_partkey % 50 ORDER BY p_partkey)) WHERE fault IS NOT NULL"
+)
 def pack_faults(spark, d):
-    rows = v.read(spark, d, "lineitem")
-    start = F.floor(F.col("l_extendedprice")).cast("long") % 10
-    return objects.pack_faults(rows.select(F.col("l_orderkey").alias("pack"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("hash"), start.alias("start"), F.floor(F.col("l_quantity")).cast("long").alias("length")))
+    size = F.col("p_size").cast("long")
+    return objects.pack_faults(v.read(spark, d, "part").select((F.col("p_partkey") % 50).alias("pack"), F.col("p_partkey").alias("position"), F.col("p_type").alias("hash"), (size % 3).alias("start"), (size % 2).alias("length")))
 
 
 @_query(
