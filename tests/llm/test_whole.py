@@ -107,3 +107,24 @@ def test_shown_elements_keep_their_text(page, text):
 )
 def test_rows_keep_what_is_not_in_cells(row, text):
     assert html_text.text_of(f"<table><tr>{row}</tr></table>") == text
+
+
+def test_near_copies_within_a_common_passage(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(9000)}"
+    passage = [word() for _ in range(45)]
+    texts = [[word() for _ in range(own)] + passage for own in (rng.choice([2, 6, 40, 90]) for _ in range(70))]
+    for base in texts[:50]:
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(copy[: len(copy) - rng.choice([0, 0, 4, 12])])
+    texts = [" ".join(t) for t in texts]
+    root, sets = list(range(len(texts))), [shingles(t) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == set(root) and 20 < len(got) < len(texts) - 20
