@@ -1,6 +1,7 @@
 """Cases in which an operator once gave a wrong result or cut its work."""
 
 import math
+import random
 import time
 
 import numpy as np
@@ -108,3 +109,32 @@ def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(Session())
+
+
+def test_a_large_group_that_does_not_connect(spark):
+    """Texts that differ from one base each in its own way: bitmaps leave out no near copy and few others leave the join."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(160):
+        words = list(base)
+        for place in rng.sample(range(len(words)), 2 + k % 6):
+            words[place] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def top(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                u, v = sorted((top(a), top(b)))
+                root[v] = u
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in nearcopies.deduplicate(docs).select("doc_id").collect()}
+    assert kept == {a for a in range(len(texts)) if root[a] == a}
+    assert 1 < len(kept) < len(texts)
