@@ -111,7 +111,7 @@ def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
         common.shared_folder(Session())
 
 
-def test_a_large_group_that_does_not_connect(spark):
+def test_a_large_group_that_does_not_connect(spark, monkeypatch):
     """Texts that differ from one base each in its own way: bitmaps leave out no near copy and few others leave the join."""
     rng = random.Random(7)
     base = [f"w{k}" for k in range(120)]
@@ -135,6 +135,9 @@ def test_a_large_group_that_does_not_connect(spark):
                 u, v = sorted((top(a), top(b)))
                 root[v] = u
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bitmaps, used = nearcopies._bitmaps, []
+    monkeypatch.setattr(nearcopies, "_bitmaps", lambda *given: used.append(1) or bitmaps(*given))
     kept = {r.doc_id for r in nearcopies.deduplicate(docs).select("doc_id").collect()}
+    assert used
     assert kept == {a for a in range(len(texts)) if root[a] == a}
     assert 1 < len(kept) < len(texts)
