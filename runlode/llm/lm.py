@@ -35,7 +35,6 @@ HINTS = 256  #: the most frequent words, which tell the language
 GATES = 3
 _CELLS = 2 * SLOTS + 32
 _EPS = 1e-5
-_STEPS = 512  #: in which a text is read, at most about
 _WIDE = 52  #: bits that a float holds exactly
 _BUCKETS = 25
 
@@ -193,58 +192,54 @@ def stretched(n: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(16 * np.log((n1 + 0.4) / (n0 + 0.4))), -127, 127).astype(np.int8)
 
 
+def said(model: Model, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The decisions with each predictor's word in place of its cell."""
+    return {"bit": x["bit"], "gate": x["gate"], "node": np.take(model.node_stretch, x["node"]), **{c: np.take(model.table, x[c]) for c in ("h1", "h2", "match")}, "bits": x["bits"]}
+
+
 def mix(model: Model, x: dict[str, np.ndarray], rate: float = 0.02, block: int = 64, lanes_bits: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
     """(log10 probability of each document's bits, mean of the weights the documents ended with).
 
     Documents of like length run side by side, a block of bits at a step; after each step a document's
     weights and its probability map move by the errors of the step, and they are carried to its end.
-    A block is ``block`` bits, or for a text of more than ``block`` times _STEPS bits as many times that as
-    keeps its steps to _STEPS; its errors then count for as much less.
+    Every block of every document has ``block`` bits but its last.
     """
+    return mixed(model, said(model, x), rate, block, lanes_bits)
+
+
+def mixed(model: Model, x: dict[str, np.ndarray], rate: float = 0.02, block: int = 64, lanes_bits: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
+    """mix, of what said() gives."""
     sizes = x["bits"]
-    rows = -(-sizes // block)  # of ``block`` bits, a document's own, the last one filled up
-    first = np.cumsum(rows) - rows
-    pos = np.arange(len(x["bit"])) + np.repeat(first * block - (np.cumsum(sizes) - sizes), sizes)
-
-    def laid(values: np.ndarray, kind: type) -> np.ndarray:
-        out = np.zeros(int(rows.sum()) * block, kind)
-        out[pos] = values
-        return out.reshape(-1, block)
-
-    bit, gate, real = laid(x["bit"], np.float32), laid(x["gate"], np.int8), laid(1, np.float32)
-    said = [laid(np.take(t, x[c]), t.dtype) for t, c in ((model.node_stretch, "node"), (model.table, "h1"), (model.table, "h2"), (model.table, "match"))]
-    unit = [np.float32(1 / 16 if t.dtype == np.int8 else 1) for t in said]
+    start = np.cumsum(sizes) - sizes
+
+    def windows(name: str) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([x[name], np.zeros(block, x[name].dtype)]), block)
+
+    bit, gate = windows("bit"), windows("gate")
+    heard = [windows(c) for c in ("node", "h1", "h2", "match")]
+    unit = [np.float32(1 / 16 if t.dtype == np.int8 else 1) for t in heard]
     cost = np.zeros(len(sizes))
     half = _BUCKETS // 2
     identity = (1 / (1 + np.exp(-(np.arange(_BUCKETS) - half) / 1.5))).astype(np.float32)
-    total, seen = np.zeros(model.weights.shape), 0
-    times = 2 ** np.ceil(np.log2(np.maximum(1, sizes / (block * _STEPS)))).astype(np.int64)
+    total, pace = np.zeros(model.weights.shape), np.float32(rate)
     order = np.argsort(sizes, kind="stable")
     gates = np.arange(GATES, dtype=np.int8)[None, :, None]
-    lo = 0
-    while lo < len(order):
-        k = int(times[order[lo]])  # a group has one block size
-        hi = min(lo + max(1, lanes_bits // (block * k)), lo + int(np.searchsorted(times[order[lo:]], k, side="right")))
-        members = order[lo:hi]
-        lo = hi
-        width, pace, lanes = block * k, np.float32(rate / k), len(members)
+    most = max(1, lanes_bits // block)
+    for members in (order[k : k + most] for k in range(0, len(order), most)):
+        lanes = len(members)
         w = np.repeat(model.weights[None], lanes, axis=0)
         apm = np.tile(identity, lanes)
         spent = np.zeros(lanes)
-        own, begin = rows[members], first[members]
-        f = np.ones((lanes, 5, width), np.float32)
+        own, begin = sizes[members], start[members]
+        f = np.ones((lanes, 5, block), np.float32)
         shift = np.arange(lanes, dtype=np.int32)[:, None] * _BUCKETS + half
-        for i in range(0, int(own.max(initial=0)), k):
+        for i in range(0, int(own[-1]), block):
             done = int(np.searchsorted(own, i, side="right"))  # the shorter documents come first
-            step = i + np.arange(k)
-            at = begin[done:, None] + np.minimum(step, own[done:, None] - 1)
-            on = real[at]
-            if k > 1:
-                on = on * (step < own[done:, None])[:, :, None]
-            on, y, now = on.reshape(-1, width), bit[at].reshape(-1, width), f[done:]
+            at, now = begin[done:] + i, f[done:]
+            y = bit[at].astype(np.float32)
             for q in range(4):
-                np.multiply(said[q][at].reshape(-1, width), unit[q], out=now[:, q])
-            chosen = (gate[at].reshape(-1, 1, width) == gates).astype(np.float32)
+                np.multiply(heard[q][at], unit[q], out=now[:, q])
+            chosen = (gate[at][:, None] == gates).astype(np.float32)
             st = np.matmul(w[done:], now)
             st *= chosen
             st = st[:, 0] + st[:, 1] + st[:, 2]
@@ -261,15 +256,21 @@ def mix(model: Model, x: dict[str, np.ndarray], rate: float = 0.02, block: int =
             refined += y
             refined -= 1
             np.abs(refined, out=refined)  # the chance of the bit that came
-            spent[done:] += np.einsum("lb,lb->l", np.log(refined, out=refined), on)
-            chosen *= ((y - p) * on)[:, None, :]
+            np.subtract(y, p, out=p)
+            np.subtract(y, mapped, out=mapped)
+            if (short := int(np.searchsorted(own[done:], i + block))):  # the last blocks of some documents
+                beyond = np.arange(i, i + block) >= own[done : done + short, None]
+                refined[:short][beyond] = 1
+                p[:short][beyond] = 0
+                mapped[:short][beyond] = 0
+            spent[done:] += np.log(refined, out=refined).sum(axis=1)
+            chosen *= p[:, None]
             w[done:] += pace * np.matmul(chosen, now.transpose(0, 2, 1))
-            apm += np.float32(0.02 / k) * np.bincount(cell.ravel(), weights=((y - mapped) * on).ravel(), minlength=len(apm)).astype(np.float32)
+            apm += np.float32(0.02) * np.bincount(cell.ravel(), weights=mapped.ravel(), minlength=len(apm)).astype(np.float32)
             np.clip(apm, 1e-4, 1 - 1e-4, out=apm)
         cost[members] = spent / np.log(10)
         total += w.sum(axis=0)
-        seen += lanes
-    return cost, (total / max(1, seen)).astype(np.float32)
+    return cost, (total / max(1, len(order))).astype(np.float32)
 
 
 def _parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
