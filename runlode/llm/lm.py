@@ -16,8 +16,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlode.llm.common import checkpointed, fold_case_once, space_words
+from runlode.llm.common import checkpointed
 
 CLASSES = 256
 SLOTS = 1 << 18  #: of each hashed context, at least
@@ -35,13 +34,23 @@ HINTS = 256  #: the most frequent words, which tell the language
 GATES = 3
 _CELLS = 2 * SLOTS + 32
 _EPS = 1e-5
+_PAIRS = 1 << 16  #: of a context and a symbol that are counted at once
+_AT_ONCE = 1 << 15  #: tokens whose decisions are laid out at once
+_HINT = tuple(map(np.uint32, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)))  #: factors of the hashes of a context
+_BEFORE = tuple(map(np.uint32, (0x27D4EB2F, 0x165667B1, 0x9E3779B1)))
+#: The class of a word by its last two bytes, then of a word of one byte.
+_ENDINGS = np.array([zlib.crc32(bytes([a, b])) % CLASSES for a in range(256) for b in range(256)] + [zlib.crc32(bytes([a])) % CLASSES for a in range(256)], np.int64)
 _WIDE = 52  #: bits that a float holds exactly
 _BUCKETS = 25
 
 
-def words(text: str | None) -> list[bytes]:
-    """White space is space and 0x09 to 0x0D; A-Z is folded."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, how many each has). White space is space and 0x09 to 0x0D; A-Z is folded."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    offsets, found = lists.offsets.to_numpy(), lists.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(found), 0)  # white space at either end leaves an empty one
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return found.filter(real), np.diff(before[offsets])
 
 
 def escape_class(word: bytes) -> int:
@@ -80,20 +89,22 @@ class Model:
     words of the vocabulary are escaped, and their counts are at hand; those of rarer words are not.
     """
 
-    ids: dict[bytes, int]
+    ids: InitVar[dict[bytes, int]]
     coded: int
     classes: np.ndarray  # of each vocabulary word, and one more
     log_base: np.ndarray  # log10 of the base's probability of each vocabulary word, then of the end
     class_log: np.ndarray  # log10 of each class's share under the base
     code: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     node_stretch: np.ndarray
+    names: pa.Array = field(init=False)  # of the vocabulary, by number
     aligned: np.ndarray = field(init=False)  # each symbol's code as a number of _WIDE bits, from the top
     table: np.ndarray | None = None  # stretch of each slot, or 16 times it in bytes
     slots: int = SLOTS
     #: For each gate the starting weights of the node, the two contexts, the match model, and the bias.
     weights: np.ndarray = field(default_factory=lambda: np.array([[0.1, 0.35, 0.65, 0.0, 0.0], [0.1, 0.3, 0.5, 0.5, 0.0], [0.1, 0.25, 0.4, 0.7, 0.0]], np.float32))
 
-    def __post_init__(self) -> None:
+    def __post_init__(self, ids: dict[bytes, int]) -> None:
+        self.names = pa.array(sorted(ids, key=ids.get), pa.binary())
         length, begin, _, bit = self.code
         if length.max(initial=0) > _WIDE:
             raise ValueError(f"a code has more than {_WIDE} bits")
@@ -110,29 +121,43 @@ class Model:
         return (_WIDE - np.frexp(differ.astype(np.float64))[1]).astype(np.int8)
 
 
-def symbols(model: Model, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, numbers of vocabulary words or -1, classes of the escaped words)."""
-    return numbered(model, words(text))
-
-
-def numbered(model: Model, w: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same, of a text's words."""
-    number = np.fromiter(map(model.ids.get, w, repeat(-1)), np.int64, len(w))
-    out = np.empty(len(w) + 1, np.int64)
-    out[:-1] = number
-    out[-1] = model.coded
+@dataclass
+class Coding:
+    """The texts of a column as symbols, with what the words say that have none of their own."""
+
+    docs: list[np.ndarray]  # the symbols of each text, the end too
+    sizes: np.ndarray  # words of each text
+    number: np.ndarray  # of each word in the vocabulary, or -1
+    of: np.ndarray  # the text of each word
+    far: np.ndarray  # places of the words that are escaped
+    classes: np.ndarray  # theirs
+    rare: pa.Array  # the words outside the vocabulary
+
+
+def coding(model: Model, column: pa.Array) -> Coding:
+    found, sizes = words(column)
+    number = pc.fill_null(pc.index_in(found, value_set=model.names), -1).to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     far = np.flatnonzero((number < 0) | (number >= model.coded))
-    unknown = np.flatnonzero(number < 0)
     kind = np.take(model.classes, number)  # the last one, of no word, for unknown words
-    kind[unknown] = np.fromiter((zlib.crc32(w[i][-2:]) % CLASSES for i in unknown.tolist()), np.int64, len(unknown))
+    unknown = number < 0
+    rare = found.filter(pa.array(unknown))
+    if len(rare):
+        _, at, data = rare.buffers()
+        end = np.frombuffer(at, np.int32)[rare.offset + 1 : rare.offset + 1 + len(rare)]
+        size, held = pc.binary_length(rare).to_numpy(), np.frombuffer(data, np.uint8)
+        last = held[end - 1].astype(np.int64)
+        kind[unknown] = _ENDINGS[np.where(size > 1, 256 * held[np.maximum(end - 2, 0)].astype(np.int64) + last, 65_536 + last)]
     classes = kind[far]
-    out[far] = model.coded + 1 + classes
-    return out, number, classes
+    s = np.full(len(number) + len(sizes), model.coded)
+    inner = number.copy()
+    inner[far] = model.coded + 1 + classes
+    s[np.arange(len(number)) + of] = inner
+    return Coding(np.split(s, np.cumsum(sizes + 1)[:-1]), sizes, number, of, far, classes, rare)
 
 
-def bits(model: Model, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """All binary decisions of the documents laid end to end, with what each predictor needs."""
-    length, begin, node, bit = model.code
+def _places(model: Model, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Of all symbols of the documents laid end to end: the contexts and what the match model expects."""
     sizes = np.array([len(d) for d in docs])
     s = np.concatenate(docs)
     n = len(s)
@@ -144,46 +169,82 @@ def bits(model: Model, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
     hint_at = np.maximum.accumulate(np.where(before < HINTS, at, -1))
     hint = np.where(hint_at >= start, before[np.maximum(hint_at, 0)], HINTS)
     # What followed the last occurrence of the symbol before, in the same document.
-    key = start * (none + 1) + before
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    key = np.repeat(np.arange(len(docs)), sizes) * (none + 1) + before
+    wide = n.bit_length()
+    order = np.sort((key << wide) | at)
+    same = order[1:] >> wide == order[:-1] >> wide
+    order &= (1 << wide) - 1
     last = np.full(n, -1)
     last[order[1:][same]] = order[:-1][same]
     guess = np.where((last >= 0) & (before != none), s[np.maximum(last, 0)], -1)
     # Whether that was right for the tokens before, up to two on end.
     r1 = np.concatenate([[False], (guess == s)[:-1]]) & (at > start)
     r2 = np.concatenate([[False], r1[:-1]]) & r1
-    run = r1.astype(np.int8) + r2
     # A guess holds for a bit while its code agrees with all bits before: up to the bit in which the
     # two codes part, where what it expects is wrong.
     part = np.where(guess >= 0, model.common(np.maximum(guess, 0), s), -1).astype(np.int8)
+    return {"symbol": s, "sizes": sizes, "hint": hint, "before": before, "part": part, "run": r1.astype(np.int8) + r2}
+
+
+def _slot(model: Model, context: np.ndarray, node: np.ndarray, by: tuple[np.uint32, np.uint32, np.uint32]) -> np.ndarray:
+    """The slot of each node in its context, of which ``context`` is by[0] times the number."""
+    return ((context ^ (node * by[1])) * by[2]) >> np.uint32(32 - (model.slots.bit_length() - 1))
+
+
+def bits(model: Model, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """All binary decisions of the documents laid end to end, with what each predictor needs."""
+    length, begin, node, bit = model.code
+    t = _places(model, docs)
+    s, sizes = t["symbol"], t["sizes"]
+    n = len(s)
     sz = length[s]
     base = np.cumsum(sz) - sz
     every = np.arange(int(sz.sum()), dtype=np.int32)
     place = every + np.repeat((begin[s] - base).astype(np.int32), sz)
     j = every - np.repeat(base.astype(np.int32), sz)
     b, nd = np.take(bit, place), np.take(node, place)
-    parting = np.repeat(part, sz)
+    parting = np.repeat(t["part"], sz)
     active = j <= parting
-    cell = np.repeat((1 + 2 * run).astype(np.int8), sz)
+    cell = np.repeat((1 + 2 * t["run"]).astype(np.int8), sz)
     gate = active * (np.int8(1) + (cell > 1))
     match = np.int32(2 * model.slots) + active * (cell + (b ^ (j == parting)))
-    shift = np.uint32(32 - (model.slots.bit_length() - 1))
-    c1 = np.repeat(hint.astype(np.uint32) * np.uint32(0x9E3779B1), sz)
-    h1 = ((c1 ^ (nd * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)) >> shift
-    c2 = np.repeat(before.astype(np.uint32) * np.uint32(0x27D4EB2F), sz)
-    h2 = ((c2 ^ (nd * np.uint32(0x165667B1))) * np.uint32(0x9E3779B1)) >> shift
+    h1, h2 = (_slot(model, np.repeat(t[c].astype(np.uint32) * by[0], sz), nd, by) for c, by in (("hint", _HINT), ("before", _BEFORE)))
     return {"bit": b, "node": nd, "h1": h1.astype(np.int32), "h2": h2.astype(np.int32) + np.int32(model.slots), "match": match.astype(np.int32), "gate": gate.astype(np.int8), "bits": np.add.reduceat(sz, np.cumsum(sizes) - sizes) if n else np.zeros(0, np.int64)}
 
 
 def tally(model: Model, docs: list[np.ndarray], n: np.ndarray) -> None:
-    """Adds the documents' bit counts to the cells of all contexts; n[2 c + b] counts bit b in cell c."""
-    x = bits(model, docs)
-    one = n.dtype.type(1)
-    for name in ("h1", "h2"):
-        np.add.at(n, x[name] * 2 + x["bit"], one)
-    low = 4 * model.slots  # the cells of the match model are few
-    n[low:] += np.bincount((x["match"] - 2 * model.slots) * 2 + x["bit"], minlength=len(n) - low).astype(n.dtype)
+    """Adds the documents' bit counts to the cells of all contexts; n[2 c + b] counts bit b in cell c.
+
+    These are the counts of all decisions that bits() gives. A symbol that occurs again in one context
+    is looked up once for all times, and the match model's cells are counted by symbols.
+    """
+    length, begin, node, bit = model.code
+    t = _places(model, docs)
+    s, part = t["symbol"], t["part"].astype(np.int64)
+    several = model.coded + 2 + CLASSES
+    for name, by, low in (("hint", _HINT, 0), ("before", _BEFORE, model.slots)):
+        key, times = np.unique(t[name] * several + s, return_counts=True)
+        for k in range(0, len(key), _PAIRS):
+            context, symbol = np.divmod(key[k : k + _PAIRS], several)
+            sz = length[symbol]
+            place = np.arange(int(sz.sum())) + np.repeat(begin[symbol] - (np.cumsum(sz) - sz), sz)
+            cell = _slot(model, np.repeat(context.astype(np.uint32) * by[0], sz), np.take(node, place), by).astype(np.int64) + low
+            np.add.at(n, cell * 2 + np.take(bit, place), np.repeat(times[k : k + _PAIRS].astype(n.dtype), sz))
+    code, sz, first = np.take(model.aligned, s), length[s], 2 * model.slots
+    agreed = np.clip(part, 0, sz)  # bits that the guess has right
+    ones = np.bitwise_count(code >> (_WIDE - agreed)).astype(np.int64)
+    wrong = (part >= 0) & (part < sz)
+    came = (code >> (_WIDE - 1 - np.where(wrong, part, 0))) & 1  # in the bit where the codes part
+    rest = np.bitwise_count(code) - ones - wrong * came  # ones among the bits without a guess
+    found = np.zeros(2 * (_CELLS - 2 * SLOTS), np.int64)
+    found[:2] = (sz - agreed - wrong - rest).sum(), rest.sum()
+    for run in range(3):
+        those = (part >= 0) & (t["run"] == run)
+        c = 2 * (1 + 2 * run)  # what is expected is 0; the next cell is for 1
+        for expected, right in ((0, agreed - ones), (1, ones)):
+            found[c + 2 * expected + expected] += right[those].sum()
+            found[c + 2 * expected + 1 - expected] += (those & wrong & (came != expected)).sum()
+    n[2 * first :] += found.astype(n.dtype)
 
 
 def stretched(n: np.ndarray) -> np.ndarray:
@@ -192,6 +253,18 @@ def stretched(n: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(16 * np.log((n1 + 0.4) / (n0 + 0.4))), -127, 127).astype(np.int8)
 
 
+def predictions(model: Model, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """What mix needs of all decisions of the documents, a few bytes each; made of few documents at a time."""
+    parts, some, total = [], [], 0
+    for k, d in enumerate(docs):
+        some.append(d)
+        total += len(d)
+        if total >= _AT_ONCE or k == len(docs) - 1:
+            parts.append(said(model, bits(model, some)))
+            some, total = [], 0
+    return {c: np.concatenate([x[c] for x in parts]) for c in parts[0]} if parts else said(model, bits(model, [np.zeros(0, np.int64)]))
+
+
 def said(model: Model, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The decisions with each predictor's word in place of its cell."""
     return {"bit": x["bit"], "gate": x["gate"], "node": np.take(model.node_stretch, x["node"]), **{c: np.take(model.table, x[c]) for c in ("h1", "h2", "match")}, "bits": x["bits"]}
@@ -208,7 +281,7 @@ def mix(model: Model, x: dict[str, np.ndarray], rate: float = 0.02, block: int =
 
 
 def mixed(model: Model, x: dict[str, np.ndarray], rate: float = 0.02, block: int = 64, lanes_bits: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
-    """mix, of what said() gives."""
+    """mix, of what predictions() gives."""
     sizes = x["bits"]
     start = np.cumsum(sizes) - sizes
 
@@ -273,7 +346,7 @@ def mixed(model: Model, x: dict[str, np.ndarray], rate: float = 0.02, block: int
     return cost, (total / max(1, len(order))).astype(np.float32)
 
 
-def _parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in order in slices of about ``most`` bytes of text and at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     begin = total = 0
@@ -288,7 +361,13 @@ def _parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterato
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, n) over all rows, without the ends."""
-    return docs.select(F.explode(space_words(fold_case_once(F.col(text_col)))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in _parts(batch, 0)):
+            found = pc.value_counts(words(part.column(0))[0])
+            yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], names=["token", "n"])
+
+    return docs.select(text_col).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 16, coded: int = 1 << 16) -> DataFrame:
@@ -337,7 +416,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         n = np.zeros(2 * model.cells, np.uint32)
         for batch in batches:
             for part in _parts(batch, 0):
-                tally(model, [symbols(model, t)[0] for t in part.column(0).to_pylist()], n)
+                tally(model, coding(model, part.column(0)).docs, n)
         for k in range(0, len(n), _RANGE):
             if (part := n[k : k + _RANGE]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // _RANGE], pa.int32()), pa.array([bytes(pa.compress(part.tobytes(), "zstd"))], pa.binary())], names=["k", "n"])
@@ -363,22 +442,16 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in _parts(batch, 2)):
-            found: list[list] = [[], [], [], [], [], []]  # the last: the words whose counts are not here
-            texts = [words(t) for t in part.column(2).to_pylist()]
-            coding = [numbered(model, w) for w in texts]
-            found[4] = pc.fill_null(pc.binary_length(part.column(2)), 0).to_pylist()
-            logp, _ = mix(model, bits(model, [s for s, _, _ in coding]))
-            for w, (s, number, classes), lp in zip(texts, coding, logp.tolist(), strict=True):
-                near = number[number >= 0]
-                escaped = near[near >= model.coded]
-                found[0].append(len(s))
-                found[1].append(len(near) + known_end)
-                found[2].append(float(model.log_base[near].sum() + model.log_base[-1]))
-                found[3].append(lp + float(model.log_base[escaped].sum() - model.class_log[classes].sum()))
-                far = np.flatnonzero(number < 0).tolist()
-                found[5].append([w[i] for i in far])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(v, k) for v, k in zip(found, kinds, strict=True)]], names=["doc_id", "th", "n_tokens", "n_near", "base", "model", "n_bytes", "rare"])
+            c, texts = coding(model, part.column(2)), part.num_rows
+            logp, _ = mixed(model, predictions(model, c.docs))
+            near = c.number >= 0
+            sums = lambda of, x=None: np.bincount(of, weights=x, minlength=texts)
+            base = sums(c.of[near], model.log_base[c.number[near]]) + model.log_base[-1]
+            escaped = c.number >= model.coded
+            inside = logp + sums(c.of[escaped], model.log_base[c.number[escaped]]) - sums(c.of[c.far], model.class_log[c.classes])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums(c.of[~near]))]), pa.int32()), c.rare)
+            n_bytes = pc.fill_null(pc.binary_length(part.column(2)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, (c.sizes + 1, sums(c.of[near]) + known_end, base, inside)), n_bytes, lists], names=["doc_id", "th", "n_tokens", "n_near", "base", "model", "n_bytes", "rare"])
 
     keyed = rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
     kind = dict(rows.dtypes)["doc_id"]

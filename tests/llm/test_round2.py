@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
+import pyarrow as pa
 
 from runlode.llm import lm
 from tests.llm.test_operators import small_model
@@ -23,3 +25,25 @@ def test_long_texts_are_scored_by_the_same_steps_as_short_ones():
     before = lm.mix(m, lm.bits(m, [np.array(context)]), block=1)[0][0]
     after = lm.mix(m, lm.bits(m, [np.array([*context, s]) for s in range(n)]), block=1)[0]
     assert math.isclose(sum(10 ** (after - before)), 1, abs_tol=2e-3)
+
+
+def test_counts_are_those_of_all_decisions():
+    m = small_model()
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, m.coded + 1 + lm.CLASSES, 50) % rng.integers(2, 300) for _ in range(40)] + [np.array([6])]
+    got = np.zeros(2 * m.cells, np.uint32)
+    lm.tally(m, docs, got)
+    x = lm.bits(m, docs)
+    want = sum(np.bincount(x[c] * 2 + x["bit"], minlength=len(got)) for c in ("h1", "h2", "match"))
+    assert np.array_equal(got, want)
+
+
+def test_words_by_columns_are_those_of_each_text():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(" \t\x0b\r\n\x1c\x85\xa0aAbZé中\x00İ") for _ in range(rng.randint(0, 40))) for _ in range(500)] + [None, "", " "]
+    own = [(t or "").encode().lower().split() for t in texts]
+    ids = {w: k for k, w in enumerate(sorted({w for o in own for w in o})[::3])}
+    m = lm.Model(ids, 20, np.array([*map(lm.escape_class, ids), 0]), np.zeros(len(ids) + 1), np.zeros(lm.CLASSES), lm.huffman([1.0] * (21 + lm.CLASSES)), np.zeros(0))
+    c = lm.coding(m, pa.array(["left out", *texts])[1:])
+    assert [d.tolist() for d in c.docs] == [[*(k if (k := ids.get(w, 20)) < 20 else 21 + lm.escape_class(w) for w in o), 20] for o in own]
+    assert c.rare.to_pylist() == [w for o in own for w in o if w not in ids]
