@@ -23,7 +23,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8 or more) stays, the one with the least doc_id."""
+    """One document of each group of near copies (five words, similarity 0.8 or more) stays, the one with the least doc_id.
+
+    SimHash finds copies, the similarity confirms them, and an exact search finds those that SimHash misses.
+    """
     return nearcopies.deduplicate(docs).select(*COLUMNS)
 
 

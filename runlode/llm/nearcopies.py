@@ -1,10 +1,11 @@
-"""Near copies by the exact Jaccard similarity of word shingles, in DataFrame operations only.
-
-Two texts are near copies if their sets of five-word shingles have a similarity of 4/5 or more. In any
-one order of all shingles, two such sets of n shingles share one of the first n - ceil(4n/5) + 1 of
-each, so sets that meet in a shingle of their prefixes are all the candidates there are. The order is
-by hash, shingles that many texts have last. Bits of a SimHash give no such cover here: near copies
-differ in up to 13 of 64, which would take 2^14 tables.
+"""Near copies by SimHash and by the exact Jaccard similarity of word shingles, in DataFrame operations only.
+
+Two texts are near copies if their sets of five-word shingles have a similarity of 4/5 or more. What
+SimHash puts together is checked by that similarity, and what passes is connected from the start.
+What SimHash misses is found exactly: in any one order of all shingles, two such sets of n shingles
+share one of the first n - ceil(4n/5) + 1 of each, so sets that meet in a shingle of their prefixes
+are all the candidates there are. The order is by hash, shingles that many texts have last. SimHash
+alone gives no such cover here: near copies differ in up to 13 of 64 bits, which would take 2^14 tables.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlode.llm import simhash
 from runlode.llm.common import checkpointed, fold_case, known, one_of_each, space_words, sweep
 from runlode.llm.graph import SMALL, components
 
@@ -108,11 +110,48 @@ def _apart() -> Column:
     return sum((F.bit_count(F.col(f"ba.b{k}").bitwiseXOR(F.col(f"bb.b{k}"))) for k in range(LONGS)), F.lit(0))
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame | None:
-    """(node, root) of all nodes that have a near copy; None if there are none.
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(u, v): which of the checkpointed pairs (a, b, na, nb) are near copies, by their low parts and then by their whole sets."""
+    parts = nodes.select("node", F.expr("slice(low, 1, p)").alias("s"))
+    few = pairs.count() <= SMALL  # then what follows is one partition, and nothing is dealt out
+    gathered = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    pairs = gathered(pairs)
+    own = gathered(_kept(_some(parts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
+    # Up to the lesser end of two low parts all is known; beyond it they share the rest of the smaller at most.
+    held = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    end = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
+    beyond = [F.col(n) - F.size(F.filter(s, lambda x: x <= F.col("end"))) for n, s in (("na", "sa"), ("nb", "sb"))]
+    held = held.withColumn("end", end).withColumn("most", F.size(F.array_intersect("sa", "sb")) + F.least(*beyond))
+    pairs = _kept(held.where("9 * most >= 4 * (na + nb)").select("a", "b", "na", "nb"))
+    held = own = None
+    sweep(docs.sparkSession)
+    pairs = gathered(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = gathered(_kept(_full(docs, _kept(_some(nodes.select("node", "lead"), ends)), id_col, text_col, width)))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def fingerprinted(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(u, v): near copies among the texts that SimHash puts together, each with one of its group.
 
-    In each bucket of a shingle, the member that shares most is compared with all others outside its
-    component, and goes; what is connected by then needs no more comparing. When the pairs left are no
+    A group is connected by fingerprints that differ in two bits or fewer; its texts are compared with
+    the one with the least lead. What differs from that one is left to the search by prefixes.
+    """
+    found = simhash.near_duplicates(docs, id_col, text_col)
+    put = found.select(known(F.col("doc_id")).alias("k"), "th", "group").distinct()
+    named = _kept(nodes.select("node", "n", "lead", known(F.col("lead.doc_id")).alias("k"), F.col("lead.th").alias("th")).join(put, ["k", "th"]).select("node", "n", "lead", "group"))
+    first = named.groupBy("group").agg(F.min(F.struct("lead", "node", "n")).alias("r"), F.count("*").alias("m")).where("m > 1")
+    first = _kept(first.select("group", "r"))
+    pairs = named.join(F.broadcast(first) if first.count() <= FEW else first, "group").where("node <> r.node").select(F.col("node").alias("a"), F.col("r.node").alias("b"), F.col("n").alias("na"), F.col("r.n").alias("nb"))
+    return _confirmed(docs, nodes, _kept(pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)")), id_col, text_col, width)
+
+
+def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, root) of all nodes that have a near copy.
+
+    What SimHash puts together and is alike is connected first. In each bucket of a shingle, the
+    member that shares most is compared with all others outside its component, and goes; what is connected by then needs no more comparing. When the pairs left are no
     more than the cells, or a round has not halved them, all are compared; in the second case within the
     join, by bitmaps of the whole sets: sets of na and nb shingles are near copies only if at most
     (na + nb) / 9 shingles are in one alone. So every pair of a bucket is compared or connected, and
@@ -126,10 +165,10 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width:
     score = cells.groupBy("node").agg((F.sum("m") / F.min("n")).alias("w"))
     cells = _kept(cells.drop("m").join(score, "node"))
     sweep(docs.sparkSession)
-    parts = nodes.select("node", F.expr("slice(low, 1, p)").alias("s"))
-    edges = comp = before = None
+    edges = _kept(fingerprinted(docs, nodes, id_col, text_col, width))
+    comp, before = components(edges), None
     while True:
-        rooted = cells.withColumn("root", F.col("node")) if comp is None else cells.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = cells.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = _kept(rooted.select("token", "node", "n", "w", "q", "root"))
         open_ = rooted.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("w", "node", "n", "root", "q")).alias("r")).where("lo < hi")
         open_ = _kept(open_.select("token", "m", "r"))
@@ -156,24 +195,9 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width:
         else:
             pairs = members.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("q").alias("qa"), F.col("root").alias("ra"), F.col("r.node").alias("b"), F.col("r.n").alias("nb"), F.col("r.q").alias("qb"), F.col("r.root").alias("rb"))
         pairs = _kept(pairs.where("ra <> rb").where(near_size).select("a", "b", "na", "nb").distinct())
-        few = pairs.count() <= SMALL  # then what follows is one partition, and nothing is dealt out
-        gathered = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-        pairs = gathered(pairs)
-        own = gathered(_kept(_some(parts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
-        # Up to the lesser end of two low parts all is known; beyond it they share the rest of the smaller at most.
-        held = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        end = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
-        beyond = [F.col(n) - F.size(F.filter(s, lambda x: x <= F.col("end"))) for n, s in (("na", "sa"), ("nb", "sb"))]
-        held = held.withColumn("end", end).withColumn("most", F.size(F.array_intersect("sa", "sb")) + F.least(*beyond))
-        pairs = _kept(held.where("9 * most >= 4 * (na + nb)").select("a", "b", "na", "nb"))
-        held = members = own = None
-        sweep(docs.sparkSession)
-        pairs = gathered(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = gathered(_kept(_full(docs, _kept(_some(nodes.select("node", "lead"), ends)), id_col, text_col, width)))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        found = both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = _kept(found if edges is None else edges.unionByName(found))
+        members = None
+        found = _confirmed(docs, nodes, pairs, id_col, text_col, width)
+        edges = _kept(edges.unionByName(found))
         comp = components(edges)
         sweep(docs.sparkSession)
         if last:
@@ -193,7 +217,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = _kept(made.groupBy("node").agg(F.min("lead").alias("lead"), F.min("n").alias("n"), F.min("p").alias("p"), F.min("low").alias("low")))
     sweep(docs.sparkSession)
     comp = links(docs, nodes, id_col, text_col, width)
-    least = nodes.select("node", "lead")
-    if comp is not None:
-        least = least.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
+    least = nodes.select("node", "lead").join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
     return one_of_each(docs, least.select(known(F.col("lead.doc_id")).alias("k"), F.col("lead.th").alias("h")), id_col, text_col)

@@ -8,7 +8,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from runlode.llm import lm
+import corpus_pipeline
+from runlode.llm import lm, nearcopies, simhash
 from tests.llm.test_operators import small_model
 
 
@@ -47,3 +48,22 @@ def test_words_by_columns_are_those_of_each_text():
     c = lm.coding(m, pa.array(["left out", *texts])[1:])
     assert [d.tolist() for d in c.docs] == [[*(k if (k := ids.get(w, 20)) < 20 else 21 + lm.escape_class(w) for w in o), 20] for o in own]
     assert c.rare.to_pylist() == [w for o in own for w in o if w not in ids]
+
+
+# ---- near copies
+
+
+def test_near_copies_come_from_simhash_and_are_checked(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(5000)}"
+    long_ = [word() for _ in range(400)]
+    texts = [" ".join(long_), " ".join([*long_[:-1], "other"])]  # a near copy within two bits
+    texts += ["a b c " * 60 + " ".join(word() for _ in range(9)) for _ in range(2)]  # one fingerprint, but not alike
+    texts += [" ".join(word() for _ in range(50)) for _ in range(4)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    groups = {r.doc_id: r.group for r in simhash.near_duplicates(docs).collect()}
+    assert groups[0] == groups[1] and groups[2] == groups[3] and len(set(groups.values())) == 6
+    linked, given = nearcopies.fingerprinted, []
+    monkeypatch.setattr(nearcopies, "fingerprinted", lambda *a: given.append(linked(*a).count()) or linked(*a))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {0, *range(2, 8)} and given == [1]
