@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +45,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what nothing names any more.
+    """Lets Spark delete the shuffle files of what nothing names any more, and gives the driver's free memory back.
 
-    It finds them when the driver collects its garbage, which a driver of small plans seldom does.
+    Spark finds them when the driver collects its garbage, which a driver of small plans seldom does.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Gives what malloc holds free in the driver's two processes back to the system, where it knows how to."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+    try:
+        jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+        named = jvm.java.lang.Class.forName
+        kinds, given = array(jvm.java.lang.Class, 4), array(jvm.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By reflection, since the server's own class is not open to calls from here.
+        named("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        pass
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

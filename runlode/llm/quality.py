@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlode.llm.common import sweep, trim
+
 #: Terms: hashed pairs of bytes, hashed triples of character classes, and bins of repetition.
 PAIRS, TRIPLES, BINS = 1024, 1024, 8
 TERMS = PAIRS + TRIPLES + 3 * BINS
@@ -99,7 +101,8 @@ def train(x: np.ndarray, labels: np.ndarray, rank: int = 32, neighbours: int = 1
     idf = (0.2 + np.log((1 + len(x)) / (1.0 + seen))).astype(np.float32)
     idf[PAIRS + TRIPLES :] = 1.0
     y = x * idf
-    _, vectors = np.linalg.eigh((y.T @ y).astype(np.float64))
+    y = (y.T @ y).astype(np.float64)
+    _, vectors = np.linalg.eigh(y)
     model = Model(idf, vectors[:, ::-1][:, :rank].astype(np.float32), np.zeros((0, rank), np.float32), labels.astype(np.float64), neighbours, prior)
     model.vectors = model.embed(x).astype(np.float32)
     return model
@@ -138,11 +141,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     # An id may have any number of rows: they are made one a text, and then cut to the bound.
     single = found.groupBy("label", "o", "h").agg(F.min("x").alias("x"))
     first = Window.partitionBy("label").orderBy("o", "h")
-    got = single.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class).collect()
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype=np.float32).reshape(len(got), TERMS)
-    y = np.array([r["label"] for r in got], dtype=np.float64)
-    order_ = np.lexsort((*x.T[::97], y))
-    return train(x[order_], y[order_], rank, neighbours, ones / n)
+    got = single.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class).select("label", "x").toArrow()
+    # The driver holds the terms once: they are put in order into one array, and what they came in goes.
+    y = got.column("label").to_numpy().astype(np.float64)
+    rows = [np.frombuffer(v.as_buffer(), dtype=np.float32) for v in got.column("x")]
+    order_ = np.lexsort((*np.array([v[::97] for v in rows]).reshape(len(rows), len(range(0, TERMS, 97))).T, y))
+    x = np.empty((len(rows), TERMS), np.float32)
+    for k, i in enumerate(order_):
+        x[k] = rows[i]
+    got = rows = None
+    sweep(docs.sparkSession)
+    model = train(x, y[order_], rank, neighbours, ones / n)
+    x = None
+    trim(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), block: int = 256) -> DataFrame:

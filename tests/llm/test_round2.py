@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import os
 import random
+import tracemalloc
 
 import numpy as np
+import psutil
 import pyarrow as pa
 
 import corpus_pipeline
-from runlode.llm import lm, nearcopies, simhash
+from runlode.llm import common, lm, nearcopies, quality, simhash
 from tests.llm.test_operators import small_model
 
 
@@ -67,3 +71,34 @@ def test_near_copies_come_from_simhash_and_are_checked(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "fingerprinted", lambda *a: given.append(linked(*a).count()) or linked(*a))
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {0, *range(2, 8)} and given == [1]
+
+
+# ---- the driver's memory
+
+
+def test_free_memory_goes_back_to_the_system(spark):
+    c = ctypes.CDLL(None)
+    c.malloc.restype, c.malloc.argtypes, c.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    held = [c.malloc(100_000) for _ in range(2000)]  # too small for mappings of their own
+    for p in held:
+        ctypes.memset(p, 1, 100_000)
+    for p in held[:-1]:  # the last one keeps the others from going by themselves
+        c.free(p)
+    own = psutil.Process(os.getpid())
+    before = own.memory_info().rss
+    common.sweep(spark)
+    after = own.memory_info().rss
+    c.free(held[-1])
+    assert before - after > 100_000_000
+
+
+def test_terms_are_held_once_while_their_space_is_sought(monkeypatch):
+    seen, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: seen.append(tracemalloc.get_traced_memory()[0]) or eigh(a))
+    tracemalloc.start()
+    try:
+        x = np.random.default_rng(1).random((3000, quality.TERMS), np.float32)
+        quality.train(x, np.arange(3000) % 2.0)
+    finally:
+        tracemalloc.stop()
+    assert seen[0] < x.nbytes + 8 * quality.TERMS**2 + 8_000_000
